@@ -112,7 +112,12 @@ def _part(fp, start: int, bits: int):
 
 def _segments(fp, bits: int):
     """Balls of the two halves of the lower ``bits`` bits: array of (part, v, asks)."""
-    return F.concat(*[F.transform(_ball(_part(fp, p * bits // 2, bits // 2), bits // 2), lambda x, p=p: F.struct(F.lit(p).alias("part"), x["v"].alias("v"), x["asks"].alias("asks"))) for p in range(2)])
+    half = bits // 2
+
+    def ball(part: int):
+        return F.transform(_ball(_part(fp, part * half, half), half), lambda x: F.struct(F.lit(part).alias("part"), x["v"].alias("v"), x["asks"].alias("asks")))
+
+    return F.concat(ball(0), ball(1))
 
 
 def _joined(groups: list[tuple[np.ndarray, list[np.ndarray]]], radius: int) -> list[tuple[int, int]]:
