@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunkstore, exactdedup, langid, mixing, sharding, simhash
+from . import bpe, chunkstore, exactdedup, langid, licenses, mixing, sharding, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,21 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = licenses.scan(documents(spark, sf_dir))
+    joined = lambda labels: F.array_join(F.sort_array(F.array_distinct(labels)), ",")
+    return x.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.first").cast("long").alias("first_word"),
+        F.array_max("base.first").cast("long").alias("last_word"),
+        joined(F.col("base.label")).alias("base_labels"),
+        joined(F.concat("base.label", "detections.label")).alias("labels"),
+        F.coalesce(F.array_max("detections.priority") / 100.0, F.lit(0.0)).alias("score"),
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_exact_dedup, op4_simhash, op6_language, op7_sharding, op9_mixing, op10_byte_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_token_store, op2_exact_dedup, op4_simhash, op6_language, op7_sharding, op8_licenses, op9_mixing, op10_byte_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
