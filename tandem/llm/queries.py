@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunkstore, exactdedup, langid, licenses, mixing, sharding, simhash
+from . import bpe, chunkstore, exactdedup, langid, licenses, lm, mixing, sharding, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = lm.train(docs.where(~lm.held_out(F.col("doc_id"))))
+    found = lm.score(docs, model)
+    return found.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model["N"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid.predict(docs, langid.fit(langid.labelled_rows(docs)))
@@ -71,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_exact_dedup, op4_simhash, op6_language, op7_sharding, op8_licenses, op9_mixing, op10_byte_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_token_store, op2_exact_dedup, op4_simhash, op5_lm, op6_language, op7_sharding, op8_licenses, op9_mixing, op10_byte_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
