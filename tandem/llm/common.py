@@ -58,7 +58,9 @@ def shared_dir(spark: SparkSession) -> str:
         if named is None:
             named = context._tandem_shared = "file://" + tempfile.mkdtemp(prefix="tandem-shared-")
             context.setCheckpointDir(named)
-    return named.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(named)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return "file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunkstore, exactdedup, langid, licenses, lm, mixing, sharding, simhash
+from . import bpe, chunkstore, exactdedup, langid, licenses, lm, media, mixing, sharding, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media_columns(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "offset", "length", "width", "height")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -78,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_exact_dedup, op4_simhash, op5_lm, op6_language, op7_sharding, op8_licenses, op9_mixing, op10_byte_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_token_store, op2_exact_dedup, op3_media, op4_simhash, op5_lm, op6_language, op7_sharding, op8_licenses, op9_mixing, op10_byte_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
