@@ -167,28 +167,39 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, o
     return local.join(b, same, "left").select("a.*", (F.col("_before") + F.col("_ahead")).alias(out)).drop("_before", "_range")
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """Column names that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return [x for x in (f"_tandem{i}" for i in range(n + len(taken))) if x not in taken][:n]
+
+
+def _same(a: list[str], b: list[str]) -> Column:
+    on = F.lit(True)
+    for x, y in zip(a, b):
+        on = on & F.col(x).eqNullSafe(F.col(y))
+    return on
+
+
 def without_rows(df: DataFrame, keys: list[Column], drop: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows of df whose keys are not in ``drop`` (columns k0, k1, ...): broadcast up to ``bound`` keys, else shuffled."""
-    named = df
-    for i, k in enumerate(keys):
-        named = named.withColumn(f"_k{i}", k)
-    same = F.lit(True)
-    for i in range(len(keys)):
-        same = same & F.col(f"_k{i}").eqNullSafe(F.col(f"k{i}"))
+    """The rows of df whose keys are not in ``drop`` (its columns in order): broadcast up to ``bound`` keys, else shuffled."""
+    names = free_names(df, 2 * len(keys))
+    own, other = names[: len(keys)], names[len(keys) :]
     small = drop.limit(bound + 1).count() <= bound
-    return named.join(F.broadcast(drop) if small else drop.hint("merge"), same, "left_anti").drop(*[f"_k{i}" for i in range(len(keys))])
+    drop = drop.toDF(*other)
+    named = df.select("*", *[k.alias(n) for k, n in zip(keys, own)])
+    return named.join(F.broadcast(drop) if small else drop.hint("merge"), _same(own, other), "left_anti").drop(*own)
 
 
 def one_row_each(df: DataFrame, keyed: DataFrame) -> DataFrame:
     """df with one row of each doc_id. keyed: a stored table with a row (doc_id) for each row of df; only doc_ids that are
     repeated there are looked for in df, mostly none."""
-    again = written(keyed.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("k0")), "repeated")
+    again = written(keyed.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if again.isEmpty():
         return df
-    key, names = F.col("doc_id").cast("long"), df.columns
+    key, (own, other) = F.col("doc_id").cast("long"), free_names(df, 2)
     single = without_rows(df, [key], again)
-    several = df.withColumn("_k", key).join(again, F.col("_k").eqNullSafe(F.col("k0")), "left_semi").drop("_k")
-    return single.unionByName(several.dropDuplicates(["doc_id"])).select(*names)
+    several = df.select("*", key.alias(own)).join(again.toDF(other), _same([own], [other]), "left_semi").drop(own)
+    return single.unionByName(several.dropDuplicates(["doc_id"]))
 
 
 def need(df: DataFrame, *names: str) -> None:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import need, prepare, running_sum, written
+from .common import free_names, need, prepare, running_sum, written
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,7 +70,8 @@ def mixed(docs: DataFrame, seed: str = "") -> DataFrame:
     """
     found = mix(docs, seed)
     n = F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(F.col("copies"))
-    wanted = found.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.max(n).alias("_n")).where("_n > 0")
-    named = docs.withColumn("_k", F.col("doc_id").cast("long")).withColumn("_x", F.xxhash64("text"))
-    joined = named.join(wanted, F.col("_k").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_h")))
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    own, of, key, its, times, nth = free_names(docs, 6)
+    wanted = found.groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(its)).agg(F.max(n).alias(times)).where(F.col(times) > 0)
+    named = docs.select("*", F.col("doc_id").cast("long").alias(own), F.xxhash64("text").alias(of))
+    joined = named.join(wanted, F.col(own).eqNullSafe(F.col(key)) & (F.col(of) == F.col(its)))
+    return joined.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(nth)).select(*[docs[c] for c in docs.columns])
