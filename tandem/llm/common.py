@@ -23,6 +23,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path, shared_dir, written  # noqa: F401  the operators take them from here
+
 #: Rows up to which a key set is broadcast (16 bytes each, so 32 MB at most); larger sets are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Rows and bytes of an Arrow batch: documents may be long, and several batches are in memory at once.
@@ -49,32 +51,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share. Set here only where the session names none, as in tests."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = getattr(context, "_tandem_shared", None)
-        if named is None:
-            named = context._tandem_shared = "file://" + tempfile.mkdtemp(prefix="tandem-shared-")
-            context.setCheckpointDir(named)
-    path = spark._jvm.org.apache.hadoop.fs.Path(named)
-    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-    return "file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file://") else whole
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tandem-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The pyarrow file system and path of a place in the shared folder."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
