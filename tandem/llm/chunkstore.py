@@ -31,7 +31,10 @@ CUT_BITS, LONGEST = 10, 8192
 #: Ids over which the hash rolls.
 WINDOW = 8
 #: Words whose ids a worker remembers, and bytes of a pack.
-WORDS, PACK = 500_000, 32 << 20
+WORDS, PACK = 1_200_000, 32 << 20
+#: Marks at a word's end that are pre-tokens of their own after a letter or digit.
+TAIL = b".,;:!?"
+_PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 MARK = "\x01"
 
@@ -52,55 +55,95 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbered()
         self.ids = np.zeros(0, np.int32)
         self.lengths = np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids in a row and how many are each word's; many words are encoded in one call."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        parts: list[np.ndarray] = [self.ids]
-        lengths: list[np.ndarray] = [self.lengths]
+        ids, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for i in range(0, len(texts), 512):
             some = texts[i : i + 512]
-            if any(MARK in t for t in some):
-                found = [np.array(x, np.int32) for x in self._ids(some)]
-            else:
+            if len(self.mark) == 1 and not any(MARK in t for t in some):
                 flat = np.array(self._ids([f" {MARK} ".join(some)])[0], np.int32)
-                found = np.split(flat, np.flatnonzero(flat == self.mark[0])) if len(self.mark) == 1 else []
-                found = [found[0], *[x[1:] for x in found[1:]]] if found else []
-                if len(found) != len(some):
-                    found = [np.array(x, np.int32) for x in self._ids(some)]
-            parts += found
-            lengths.append(np.array([len(x) for x in found], np.int64))
-        self.ids, self.lengths = np.concatenate(parts).astype(np.int32), np.concatenate(lengths)
+                marks = np.flatnonzero(flat == self.mark[0])
+                if len(marks) == len(some) - 1:
+                    ids.append(flat[flat != self.mark[0]])
+                    lengths.append(np.diff(np.concatenate([[-1], marks, [len(flat)]])) - 1)
+                    continue
+            found = self._ids(some)
+            ids.append(np.array([x for f in found for x in f], np.int32))
+            lengths.append(np.array([len(f) for f in found], np.int64))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _learn(self) -> None:
+        """Finds the ids of words numbered since the last call. A word that ends in marks after a letter or digit has
+        the ids of its two parts in a row; parts that are new are numbered too."""
+        known, first = self.known, len(self.lengths)
+        new, listed = known.new, []
+        place: dict[bytes, int] = {}
+
+        def piece(w: bytes) -> int:
+            if (i := known.get(w, first)) < first:
+                return i
+            if w not in place:
+                place[w] = first + len(listed)
+                listed.append(w)
+            return place[w]
+
+        pairs: list[int] = []
+        for w in new:
+            stem = w.rstrip(TAIL)
+            if len(stem) == len(w) or not stem or stem[-1] not in _PLAIN:
+                pairs += (piece(w), -1)
+            else:
+                pairs += (piece(stem), piece(w[len(stem) :]))
+        for w in listed:
+            if w not in known:
+                known[w] = len(known)
+                pairs += (place[w], -1)
+        found, lengths = self._encoded(listed)
+        ids, lengths = np.concatenate([self.ids, found]), np.concatenate([self.lengths, lengths, [0]])
+        starts, of = np.cumsum(lengths) - lengths, np.array(pairs, np.int64)
+        self.ids = np.concatenate([self.ids, _runs(ids, starts[of], lengths[of])])
+        self.lengths = np.concatenate([self.lengths, lengths[of].reshape(-1, 2).sum(axis=1)])
+        known.new = []
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Each text's ids. A-Z is lower-cased first, as the tokenizer does itself, so that spellings meet."""
         if len(self.known) > WORDS:
             self.clear()
-        known, new, places = self.known, [], []
+        places = []
         for t in texts:
             words = t.lower().split()
-            try:
-                places.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-            except KeyError:
-                for w in words:
-                    if w not in known:
-                        known[w] = len(known)
-                        new.append(w)
-                places.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-        if new:
-            self._learn(new)
+            places.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+        if self.known.new:
+            self._learn()
         starts = np.cumsum(self.lengths) - self.lengths
-        out = []
-        for x in places:
-            n = self.lengths[x]
-            ends = np.cumsum(n)
-            out.append(self.ids[np.repeat(starts[x] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
+        return [_runs(self.ids, starts[x], self.lengths[x]) for x in places]
+
+
+class _Numbered(dict):
+    """Numbers words in the order of their first look-up and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
+def _runs(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of values that begin at starts, one after another."""
+    ends = np.cumsum(lengths)
+    return values[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 @lru_cache(maxsize=2)
