@@ -216,7 +216,7 @@ def _encode(path: str, end_id: int, width: int):
                             sent.clear()
                         sent.add(digest)
                         add(int.from_bytes(digest[:3], "big"), None, None, None, digest, piece)
-                add(text_hash & 0xFFFFFF, doc_id, text_hash, len(stream), b"".join(recipe), None)
+                add((text_hash ^ (doc_id or 0) * 0x9E3779B97F4A7C15) >> 20 & 0xFFFFFF, doc_id, text_hash, len(stream), b"".join(recipe), None)
             yield rows(_MOVED, deal=deal, doc_id=ids_, text_hash=hashes, n_tokens=n, data=data, chunk=chunk)
 
     return run
