@@ -31,5 +31,5 @@ def test_query(spark, tables, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 32
+    assert entry.entry(spark).count() == 24
     assert set(entry.oracle_sql()) <= set(entry.queries())
