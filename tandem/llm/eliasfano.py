@@ -74,8 +74,16 @@ class EliasFano:
         i = np.arange(self.n, dtype=np.int64)
         return ((at - i).astype(np.uint64) << _U(self.l)) | self._low(i)
 
+    def _clear_bit(self, j: np.ndarray) -> np.ndarray:
+        """Position of the j-th clear bit, which ends bucket j."""
+        word = np.searchsorted(self.clear, j, side="right") - 1
+        return word * 64 + _select_in_word(~self.high[word], (j - self.clear[word]).astype(np.uint64)).astype(np.int64)
+
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Places of the values x, or -1: the successor within x's bucket, if it is x itself."""
+        """Places of the values x, or -1: the successor within x's bucket, if it is x itself.
+
+        A bucket mostly holds a value or two and is read in turn; in one that holds more the rest is searched by halves.
+        """
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out
@@ -83,12 +91,11 @@ class EliasFano:
         want = x & _U((1 << self.l) - 1)
         i = np.zeros(len(x), np.int64)
         later = h > 0
-        j = h[later] - 1  # the bucket begins behind the clear bit that ends the one before
-        word = np.searchsorted(self.clear, j, side="right") - 1
-        at = word * 64 + _select_in_word(~self.high[word], (j - self.clear[word]).astype(np.uint64)).astype(np.int64)
-        i[later] = at - j
+        i[later] = self._clear_bit(h[later] - 1) - (h[later] - 1)
         left = np.arange(len(x))
-        while len(left):
+        for _ in range(6):
+            if not len(left):
+                return out
             k = i[left]
             bit = k + h[left]
             inside = ((self.high[bit >> 6] >> (bit & 63).astype(np.uint64)) & _U(1)).astype(bool)
@@ -98,6 +105,15 @@ class EliasFano:
             out[left[hit]] = k[hit]
             left = left[low < want[left]]
             i[left] += 1
+        if len(left):
+            a, b, w = i[left], self._clear_bit(h[left]) - h[left], want[left]
+            while (open_ := a < b).any():
+                middle = (a + b) >> 1
+                less = open_ & (self._low(np.minimum(middle, self.n - 1)) < w)
+                a, b = np.where(less, middle + 1, a), np.where(open_ & ~less, middle, b)
+            end = self._clear_bit(h[left]) - h[left]
+            hit = (a < end) & (self._low(np.minimum(a, self.n - 1)) == w)
+            out[left[hit]] = a[hit]
         return out
 
 

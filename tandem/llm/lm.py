@@ -2,7 +2,7 @@
 
 Level 1 holds the words of the training texts (as 64-bit hashes in order; a word's place is its id) and their running
 counts. Level 2 holds, for each word, the ids of the words that followed it, as one monotone sequence relative to the
-word's place, pointers to where each word's successors begin, and for each pair the discounted relative frequency as an
+word's place (frequent words have more room, so that values lie evenly), pointers to where each word's successors begin, and for each pair the discounted relative frequency as an
 8-bit code of its logarithm. A pair is found by a successor search for its relative value.
 
 p(w | u) = (c(u w) - D) / c(u) + D n(u) / c(u) p(w), where n(u) counts different successors and p(w) = (c(w) + 1) /
@@ -36,6 +36,9 @@ HELD_WORDS, HELD_TOKENS, BLOCK = 1_000_000, 6_000_000, 8 << 20
 END = b"\xff"
 #: Codes of log10 of a discounted relative frequency: from 0 down, 255 steps.
 STEP = 12.0 / 255
+#: A word's successors are spread over as many times V values as it has occurrences by this many, so that a frequent
+#: word's lie no closer than others'.
+SPREAD = 64
 _RUNS = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("about", pa.string()), ("run", pa.binary()), ("counts", pa.binary())])
 _RUNS_SQL = "shard int, n long, about string, run binary, counts binary"
 _SHARDS_SQL = "shard int, meta string"
@@ -126,48 +129,73 @@ def _count_words(bits: int):
 
 
 class Words:
-    """Level 1: ids, counts and counts before it of words, by their hashes."""
+    """Level 1: ids, counts and widths of words, by their hashes."""
 
     def __init__(self, bits: int, shards: list[dict]):
-        self.bits, self.first, self.before = bits, {}, {}
+        self.bits, self.first, self.ahead = bits, {}, {}
         self.keys: dict[int, EliasFano] = {}
         self.sums: dict[int, EliasFano] = {}
-        self.V = self.N = 0
+        self.widths: dict[int, EliasFano] = {}
+        self.order = [m["shard"] for m in shards]
+        self.V = self.N = self.width = 0
         for m in shards:
             parts = unpack(load_array(m["uri"], "<u8"), m["ends"])
             s = m["shard"]
             self.keys[s] = EliasFano(m["n"], 1 << (64 - bits), *parts[:3])
-            self.sums[s] = EliasFano(m["n"] + 1, m["total"] + 1, *parts[3:])
-            self.first[s], self.before[s] = self.V, self.N
+            self.sums[s] = EliasFano(m["n"] + 1, m["total"] + 1, *parts[3:6])
+            self.widths[s] = EliasFano(m["n"] + 1, m["width"] + 1, *parts[6:9])
+            self.first[s], self.ahead[s] = self.V, self.width
             self.V += m["n"]
             self.N += m["total"]
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id or -1, count, counts of all words before it)."""
-        ids, counts, before = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+            self.width += m["width"]
+        self.firsts = np.array([self.first[s] for s in self.order], np.int64)
+
+    def _of(self, s: int, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count, width, widths of all words before) of places in a shard."""
+        ahead = self.widths[s].access(i).astype(np.int64)
+        count = (self.sums[s].access(i + 1) - self.sums[s].access(i)).astype(np.int64)
+        return count, self.widths[s].access(i + 1).astype(np.int64) - ahead, ahead + self.ahead[s]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(id or -1, count, width, widths before) of words."""
+        out = np.zeros((4, len(hashes)), np.int64)
+        out[0] = -1
         shard = (hashes >> _U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)).tolist() if len(order) else []
-        for a, b in zip(cuts, [*cuts[1:], len(order)]):
-            at, s = order[a:b], int(shard[order[a]])
-            if s not in self.keys:
-                continue
-            i = self.keys[s].find(hashes[at] & _U((1 << (64 - self.bits)) - 1))
-            at, i = at[i >= 0], i[i >= 0]
-            start = self.sums[s].access(i).astype(np.int64)
-            ids[at] = i + self.first[s]
-            counts[at] = self.sums[s].access(i + 1).astype(np.int64) - start
-            before[at] = start + self.before[s]
-        return ids, counts, before
+        for s, at in _by_shard(shard):
+            if s in self.keys:
+                i = self.keys[s].find(hashes[at] & _U((1 << (64 - self.bits)) - 1))
+                at, i = at[i >= 0], i[i >= 0]
+                out[0, at] = i + self.first[s]
+                out[1, at], out[2, at], out[3, at] = self._of(s, i)
+        return tuple(out)
+
+    def by_id(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(count, width, widths before) of ids."""
+        out = np.zeros((3, len(ids)), np.int64)
+        for k, at in _by_shard(np.searchsorted(self.firsts, ids, side="right") - 1):
+            out[0, at], out[1, at], out[2, at] = self._of(self.order[k], ids[at] - self.firsts[k])
+        return tuple(out)
+
+
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(shard.astype(np.int32), kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)).tolist() if len(order) else []
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+        yield int(shard[order[a]]), order[a:b]
 
 
 # --- level 2: pairs ------------------------------------------------------------------------------------------------
 
 
-def _shard_of(before: np.ndarray, count: np.ndarray, word: np.ndarray, n_words: int, total: int, shards: int) -> np.ndarray:
-    """A pair's shard: where its place among all training tokens lies, which grows with (u, w)."""
-    share = (count.astype(np.float64) * (word.astype(np.float64) / n_words)).astype(np.int64)
-    return np.minimum(((before + share).astype(np.float64) * (shards / total)).astype(np.int64), shards - 1)
+def _shard_of(ahead: np.ndarray, width: np.ndarray, word: np.ndarray, known: Words, shards: int) -> np.ndarray:
+    """A pair's shard: where it lies in the widths of all words, which grows with (u, w)."""
+    place = ahead.astype(np.float64) + width.astype(np.float64) * (word.astype(np.float64) / known.V)
+    return np.minimum((place * (shards / known.width)).astype(np.int64), shards - 1)
+
+
+def _relative(ahead: np.ndarray, width: np.ndarray, word: np.ndarray, base: int, n_words: int) -> np.ndarray:
+    """A pair's value in its shard: u's place by widths, V values each, and w at its share of them."""
+    return (ahead - base).astype(np.uint64) * _U(n_words) + word.astype(np.uint64) * width.astype(np.uint64)
 
 
 class Texts:
@@ -212,55 +240,47 @@ def _count_pairs(bits: int, level1: list[dict], shards: int):
         def runs() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             u, w = (keys // _U(known.V)).astype(np.int64), (keys % _U(known.V)).astype(np.int64)
-            firsts = np.flatnonzero(np.append(True, np.diff(u) != 0))
-            of = np.cumsum(np.append(True, np.diff(u) != 0)) - 1
-            count, before = known_by_id(u[firsts])
-            shard = _shard_of(before[of], count[of], w, known.V, known.N, shards)
+            new = np.append(True, np.diff(u) != 0)
+            of = np.cumsum(new) - 1
+            _, width, ahead = known.by_id(u[new])
+            shard = _shard_of(ahead[of], width[of], w, known, shards)
             cuts = np.searchsorted(shard, np.arange(shards + 1))
             out = [_run(s, keys[a:b], counts[a:b]) for s, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if a < b]
             return rows(_RUNS, **dict(zip(_RUNS.names, map(list, zip(*out)))))
 
-        seen_id: dict[int, tuple[int, int]] = {}
-
-        def known_by_id(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            pairs = [seen_id[i] for i in ids.tolist()]
-            return np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
-
         for _, texts in _blocks(((range(b.num_rows), each_text(b.column(0), lower=True)) for b in batches), BLOCK):
             x = Texts(texts)
-            ids, counts, before = known.find(word_hashes(x.words))
-            seen_id.update(zip(ids.tolist(), zip(counts.tolist(), before.tolist())))
+            ids = known.find(word_hashes(x.words))[0]
             held.append(ids[x.before].astype(np.uint64) * _U(known.V) + ids[x.token].astype(np.uint64))
             n += len(x.token)
             if n >= HELD_TOKENS:
                 yield runs()
                 held, n = [], 0
-                seen_id.clear()
         if held:
             yield runs()
 
     return run
 
 
-def _write_pairs(folder: str, n_words: int, counts_of):
+def _write_pairs(folder: str, known: Words):
     """Merges a shard's pairs and writes its level: relative values, pointers, codes."""
 
     def write(shard: int, keys: np.ndarray, counts: np.ndarray) -> dict:
-        u = (keys // _U(n_words)).astype(np.int64)
+        u, w = (keys // _U(known.V)).astype(np.int64), keys % _U(known.V)
         first, last = int(u[0]), int(u[-1])
         n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
         d = min(0.95, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.5))
-        relative = keys - _U(first * n_words)
+        count, width, ahead = known.by_id(np.arange(first, last + 1))
+        universe = int(ahead[-1] + width[-1] - ahead[0]) * known.V
+        if universe >= 1 << 63:
+            raise ValueError("a shard's pairs span too many values: use more shards")
         starts = np.searchsorted(u, np.arange(first, last + 2))
-        count = counts_of(np.arange(first, last + 1))
-        p = (counts - d) / count[u - first]
-        codes = np.clip(np.rint(-np.log10(p) / STEP), 0, 255).astype(np.uint8)
+        codes = np.clip(np.rint(-np.log10((counts - d) / count[u - first]) / STEP), 0, 255).astype(np.uint8)
         padded = np.zeros(-(-len(codes) // 8) * 8, np.uint8)
         padded[: len(codes)] = codes
-        universe = (last - first + 1) * n_words
-        parts = [*EliasFano.arrays(relative, universe), *EliasFano.arrays(starts.astype(np.uint64), len(keys) + 1), padded.view("<u8")]
-        ends_of = [int((u == first).sum()), int((u == last).sum())]
-        return {"shard": shard, "n": len(keys), "first": first, "last": last, "d": d, "n_first": ends_of[0], "n_last": ends_of[1], "n1": n1, "n2": n2, **_file(folder, parts)}
+        values = _relative(ahead[u - first], width[u - first], w, int(ahead[0]), known.V)
+        parts = [*EliasFano.arrays(values, universe), *EliasFano.arrays(starts.astype(np.uint64), len(keys) + 1), padded.view("<u8")]
+        return {"shard": shard, "n": len(keys), "universe": universe, "base": int(ahead[0]), "first": first, "last": last, "d": d, **_file(folder, parts)}
 
     return write
 
@@ -272,26 +292,21 @@ class Pairs:
         self.V, self.shards = n_words, {}
         for m in shards:
             parts = unpack(load_array(m["uri"], "<u8"), m["ends"])
-            keys = EliasFano(m["n"], (m["last"] - m["first"] + 1) * n_words, *parts[:3])
+            keys = EliasFano(m["n"], m["universe"], *parts[:3])
             starts = EliasFano(m["last"] - m["first"] + 2, m["n"] + 1, *parts[3:6])
-            self.shards[m["shard"]] = (m["first"], m["last"], m["d"], keys, starts, parts[6].view(np.uint8))
+            self.shards[m["shard"]] = (m["first"], m["last"], m["d"], m["base"], keys, starts, parts[6].view(np.uint8))
         self.order = sorted(self.shards)
-        self.lasts = np.array([self.shards[s][1] for s in self.order], np.int64)
         self.values = 10.0 ** (-np.arange(256) * STEP)
 
-    def seen(self, shard: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def seen(self, shard: np.ndarray, u: np.ndarray, ahead: np.ndarray, width: np.ndarray, w: np.ndarray) -> np.ndarray:
         """The discounted relative frequency of each pair of ids; 0 for pairs that never occurred."""
         out = np.zeros(len(u))
-        order = np.argsort(shard.astype(np.int32), kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)).tolist() if len(order) else []
-        for a, b in zip(cuts, [*cuts[1:], len(order)]):
-            s = int(shard[order[a]])
+        for s, at in _by_shard(shard):
             if s not in self.shards:
                 continue
-            first, last, _, keys, _, codes = self.shards[s]
-            at = order[a:b]
+            first, last, _, base, keys, _, codes = self.shards[s]
             at = at[(u[at] >= first) & (u[at] <= last)]
-            i = keys.find((u[at] - first).astype(np.uint64) * _U(self.V) + w[at].astype(np.uint64))
+            i = keys.find(_relative(ahead[at], width[at], w[at], base, self.V))
             out[at[i >= 0]] = self.values[codes[i[i >= 0]]]
         return out
 
@@ -299,7 +314,7 @@ class Pairs:
         """For each id (ascending), the sum over shards of D times its different successors there, by the pointers."""
         out = np.zeros(len(u))
         for s in self.order:
-            first, last, d, _, starts, _ = self.shards[s]
+            first, last, d, _, _, starts, _ = self.shards[s]
             a, b = np.searchsorted(u, [first, last + 1])
             if a < b:
                 i = u[a:b] - first
@@ -328,30 +343,18 @@ def train(texts: DataFrame) -> dict:
 
     def words(shard: int, keys: np.ndarray, counts: np.ndarray) -> dict:
         sums = np.append(0, np.cumsum(counts)).astype(np.uint64)
-        parts = [*EliasFano.arrays(keys, 1 << (64 - bits)), *EliasFano.arrays(sums, int(sums[-1]) + 1)]
-        return {"shard": shard, "n": len(keys), "total": int(sums[-1]), **_file(folder, parts)}
+        widths = np.append(0, np.cumsum(-(-counts // SPREAD))).astype(np.uint64)
+        parts = [*EliasFano.arrays(keys, 1 << (64 - bits)), *EliasFano.arrays(sums, int(sums[-1]) + 1), *EliasFano.arrays(widths, int(widths[-1]) + 1)]
+        return {"shard": shard, "n": len(keys), "total": int(sums[-1]), "width": int(widths[-1]), **_file(folder, parts)}
 
     runs = texts.mapInArrow(_count_words(bits), _RUNS_SQL).repartition(n, "shard").sortWithinPartitions("shard")
     level1 = sorted((json.loads(r["meta"]) for r in runs.mapInArrow(lambda b: _merged(b, words), _SHARDS_SQL).collect()), key=lambda m: m["shard"])
     model = {"bits": bits, "shards": n, "level1": level1, "level2": [], "V": sum(m["n"] for m in level1), "N": sum(m["total"] for m in level1)}
     if not model["N"]:
         return model
-    v = model["V"]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(bits, level1)
-        firsts = np.array([known.first[m["shard"]] for m in level1])
-
-        def counts_of(ids: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(ids), np.int64)
-            part = np.searchsorted(firsts, ids, side="right") - 1
-            for k in np.unique(part).tolist():
-                i = ids[part == k] - firsts[k]
-                sums = known.sums[level1[k]["shard"]]
-                out[part == k] = (sums.access(i + 1) - sums.access(i)).astype(np.int64)
-            return np.maximum(out, 1)
-
-        yield from _merged(batches, _write_pairs(folder, v, counts_of))
+        yield from _merged(batches, _write_pairs(folder, Words(bits, level1)))
 
     runs = texts.mapInArrow(_count_pairs(bits, level1, n), _RUNS_SQL).repartition(n, "shard").sortWithinPartitions("shard")
     model["level2"] = sorted((json.loads(r["meta"]) for r in runs.mapInArrow(merge, _SHARDS_SQL).collect()), key=lambda m: m["shard"])
@@ -374,7 +377,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         columns = ((zip(b.column(0).to_pylist(), b.column(1).to_pylist()), each_text(b.column(2), lower=True)) for b in batches)
         for keys, texts in _blocks(columns, BLOCK):
             x = Texts(texts)
-            ids, counts, before = known.find(word_hashes(x.words))
+            ids, counts, width, ahead = known.find(word_hashes(x.words))
             alone = (counts + 1) / (known.N + known.V + 1)
             spared = np.ones(len(ids))
             seen = np.flatnonzero(ids >= 0)
@@ -384,8 +387,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             both = np.flatnonzero((ids[x.before] >= 0) & (ids[x.token] >= 0))
             if len(both):
                 a, b = x.before[both], x.token[both]
-                shard = _shard_of(before[a], counts[a], ids[b], known.V, known.N, model["shards"])
-                p[both] += pairs.seen(shard, ids[a], ids[b])
+                shard = _shard_of(ahead[a], width[a], ids[b], known, model["shards"])
+                p[both] += pairs.seen(shard, ids[a], ahead[a], width[a], ids[b])
             starts = np.cumsum(x.lengths) - x.lengths
             total = lambda v: np.add.reduceat(v, starts)
             yield rows(
