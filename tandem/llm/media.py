@@ -83,21 +83,21 @@ def feature_of(payload: bytes, height: int) -> str:
     return f"{WIDTH}x{height} min={x.min()} max={x.max()} mean={int(x.sum(dtype=np.int64)) * 1000 // len(x)} eighths={eighths}"
 
 
-_DIGESTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string())])
-_PLACES = pa.schema([("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-_META = pa.schema([("digest", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("bits", pa.int32())])
-_FOUND = pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.binary())])
+_PLACES = pa.schema([("digest", pa.binary()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+_META = pa.schema([("digest", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), ("bits", pa.int32())])
+_FOUND = pa.schema([("digest", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.binary()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.binary()), ("feature", pa.string())])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = list(each_text(b.column(2)))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(payload_of(t)).hexdigest() for t in texts], pa.string())], schema=_DIGESTS)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(payload_of(t)).digest() for t in texts], pa.binary())], schema=_DIGESTS)
 
 
 def _store(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
+        seen: set[bytes] = set()
         name, out, at = "", None, 0
 
         def close() -> None:
@@ -108,7 +108,7 @@ def _store(folder: str):
             found = []
             for t in each_text(b.column(0)):
                 payload = payload_of(t)
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 if digest in seen:
                     continue
                 seen.add(digest)
@@ -121,7 +121,7 @@ def _store(folder: str):
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(path)
                 data = encode_png(payload)
-                member = tarfile.TarInfo(f"{digest}.png")
+                member = tarfile.TarInfo(f"{digest.hex()}.png")
                 member.size = len(data)
                 head = member.tobuf(tarfile.USTAR_FORMAT)
                 out.write(head + data + b"\0" * (-len(data) % 512))
@@ -139,20 +139,20 @@ def store(docs: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFr
     """Stores every payload of docs once; returns (rows, places, folder).
 
     rows: doc_id, text_hash, n_bytes (of the text), digest of each row of docs, as they repeat there; null text counts as
-    empty. places: digest, shard, offset, length, one row of each digest.
+    empty. places: digest, shard, offset, length, one row of each digest. Digests are 32 bytes.
     """
     need(docs, "doc_id", "text")
     spark = prepare(docs.sparkSession)
     folder = folder or new_path(spark, "media")
     text = F.col("text").cast("string")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    read = written(named.mapInArrow(_digests, "doc_id long, text_hash long, n_bytes long, digest string"), "digests")
+    read = written(named.mapInArrow(_digests, "doc_id long, text_hash long, n_bytes long, digest binary"), "digests")
     # of a payload's rows, those that are not its smallest (doc_id, text_hash) don't store it
     least = read.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select(F.col("digest").alias("d"), F.col("x.doc_id").alias("i"), F.col("x.text_hash").alias("h"))
     other = ~(F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")))
     drop = written(read.join(least, F.col("digest") == F.col("d")).where(other).select(F.col("doc_id").alias("k0"), F.col("text_hash").alias("k1")).distinct(), "others")
     keep = without_rows(named, [F.col("doc_id"), F.col("text_hash")], drop)
-    placed = written(keep.select("text").mapInArrow(_store(folder), "digest string, shard string, offset long, length long"), "places")
+    placed = written(keep.select("text").mapInArrow(_store(folder), "digest binary, shard string, offset long, length long"), "places")
     one = placed.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("x")).select("digest", "x.*")
     return read, one, folder
 
@@ -186,7 +186,7 @@ def _by_shard(places: DataFrame) -> DataFrame:
 def metadata(places: DataFrame, folder: str) -> DataFrame:
     """digest, width, height, bits of each payload, from range reads of the images' heads alone."""
     make = lambda digest, read, length: read_header(read(HEADER))
-    return _by_shard(places).mapInArrow(_range_reads(folder, make, _META), "digest string, width int, height int, bits int")
+    return _by_shard(places).mapInArrow(_range_reads(folder, make, _META), "digest binary, width int, height int, bits int")
 
 
 def features(places: DataFrame, folder: str) -> DataFrame:
@@ -196,18 +196,19 @@ def features(places: DataFrame, folder: str) -> DataFrame:
         _, height, _ = read_header(read(HEADER))
         data = read(length)
         payload = decode_png(data)
-        sha = hashlib.sha256(payload).hexdigest()
+        sha = hashlib.sha256(payload).digest()
         if sha != digest or len(payload) != WIDTH * height:
             raise ValueError("a stored payload differs from its digest")
-        return len(payload), sha, zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(payload, height)
+        return len(payload), sha, zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).digest(), feature_of(payload, height)
 
-    return _by_shard(places).mapInArrow(_range_reads(folder, make, _FOUND), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _by_shard(places).mapInArrow(_range_reads(folder, make, _FOUND), "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and, from the stored bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature of each row of docs; also digest, shard, offset, length and the header's width and height."""
+    feature of each row of docs; also digest, shard, offset, length and the header's width and height. Digests are in hex."""
     read, places, folder = store(docs)
     places = written(places, "index")
     found = written(features(places, folder).join(metadata(places, folder), "digest").join(places, "digest"), "features")
-    return read.join(found, "digest").drop("bits", "text_hash")
+    whole = read.join(found, "digest").drop("bits", "text_hash")
+    return whole.withColumns({c: F.lower(F.hex(c)) for c in ("digest", "payload_sha256", "media_sha256")})
