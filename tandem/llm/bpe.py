@@ -1,7 +1,7 @@
 """Byte-level BPE: ranked merges folded over the byte arrays of distinct words by Spark's higher-order functions.
 
 In each task, texts are cut into words by the tokenizer's pattern and each block of texts lists its distinct words. Their
-byte arrays go through one ``aggregate``: an element packs the rank of the pair it starts and its own id, a step finds
+byte arrays (but for frequent words', which went before) go through one ``aggregate``: an element packs the rank of the pair it starts and its own id, a step finds
 the smallest, merges that pair and looks up the two pairs beside it in the literal rank map. The map is a literal array
 with a slot for each pair of ids whose pieces join to a piece; Spark's own map literals are searched entry by entry, which
 50,000 ranks do not allow. Behind it, words' ids are put together to texts' ids, and texts are decoded by concatenating
@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -24,12 +26,16 @@ from pyspark.sql import functions as F
 from .common import each_text, need, prepare
 
 #: Bytes of text that list their distinct words together, and words in a row of the list.
-BLOCK, CHUNK = 12 << 20, 1024
+BLOCK, CHUNK = 32 << 20, 1024
 #: White space by Unicode, which \\s means in the tokenizers' own library (Python's classes differ).
 SPACE = r"\t-\r \x85\xa0  -     　"
 _TRAILS = regex.compile(rf"[{SPACE}]\Z")
+#: Marks that no word goes on from, and characters that are no white space at a piece's end.
+_MARKS = frozenset(bytes([c]) for c in b".,;:!?)]}$#*%&")
+_VISIBLE = frozenset(map(chr, range(33, 127)))
 NONE = 65536  #: the rank of a pair that doesn't merge
 _MULTIPLIER = 1_540_483_477
+FREE = 1 << 60
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,7 +54,7 @@ def word_pattern(pattern: str) -> regex.Pattern:
 @lru_cache(maxsize=4)
 def rank_slots(path: str) -> tuple[list[int], list[int], int]:
     """(entries, displacements, bits): pair (a, b) is at slot (h >> 40) + displacements[(h >> 12) & mask] where
-    h = (a << 16 | b) * multiplier; the entry holds the pair above 17 bits and the rank below. Free slots hold -1."""
+    h = (a << 16 | b) * multiplier; the entry holds the pair above 17 bits and the rank below. Free slots hold FREE."""
     ranks = read_ranks(path)
     if len(ranks) >= NONE or any(bytes([i]) not in ranks for i in range(256)):
         raise ValueError("ranks must hold all 256 bytes and fewer than 65536 pieces")
@@ -65,7 +71,7 @@ def rank_slots(path: str) -> tuple[list[int], list[int], int]:
     order = np.argsort(group, kind="stable")
     cuts = np.flatnonzero(np.append(True, np.diff(group[order]) != 0)).tolist() + [len(order)]
     members = sorted((order[a:b] for a, b in zip(cuts, cuts[1:])), key=len, reverse=True)
-    entries, moves = [-1] * (1 << bits), [0] * (1 << bits - 2)
+    entries, moves = [FREE] * (1 << bits), [0] * (1 << bits - 2)
     mask = (1 << bits) - 1
     dice = np.random.default_rng(1)
     for m in members:
@@ -73,7 +79,7 @@ def rank_slots(path: str) -> tuple[list[int], list[int], int]:
         for _ in range(100_000):
             d = int(dice.integers(0, mask + 1))
             slots = {(x + d) & mask for x in at}
-            if len(slots) == len(at) and all(entries[s] < 0 for s in slots):
+            if len(slots) == len(at) and all(entries[s] == FREE for s in slots):
                 break
         else:
             raise ValueError("no free slots for a group of pairs")
@@ -83,24 +89,58 @@ def rank_slots(path: str) -> tuple[list[int], list[int], int]:
     return entries, moves, bits
 
 
+@lru_cache(maxsize=4)
+def starts(path: str) -> list[int]:
+    """What a word's places start as, by their codes: two bytes in a row (rank of the pair, id of the first), behind them
+    the last byte of a word, behind them words that are pieces and need no merging."""
+    ranks = read_ranks(path)
+    single = [ranks[bytes([i])] for i in range(256)]
+    pairs = [ranks.get(bytes([i, j]), NONE) << 16 | single[i] for i in range(256) for j in range(256)]
+    return pairs + [NONE << 16 | x for x in single] + [NONE << 16 | x for x in range(max(ranks.values()) + 1)]
+
+
+def codes(words: list[bytes], done: list) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words' places in a row, and how many each word has. done: a word's ids where they are known already
+    (it is a piece, or a frequent word), else None."""
+    joined = b"".join([w for w, d in zip(words, done) if d is None])
+    flat = np.frombuffer(joined, np.uint8).astype(np.int32)
+    raw = flat << 8
+    raw[:-1] |= flat[1:]
+    n = np.array([len(w) for w, d in zip(words, done) if d is None], np.int64)
+    last = np.cumsum(n) - 1
+    raw[last] = 65536 + flat[last]
+    known = np.array([i for d in done if d is not None for i in d], np.int32) + (65536 + 256)
+    lengths = np.array([len(w) if d is None else len(d) for w, d in zip(words, done)], np.int64)
+    out = np.empty(int(lengths.sum()), np.int32)
+    of = np.repeat(np.array([d is None for d in done], bool), lengths)
+    out[of], out[~of] = raw, known
+    return out, lengths
+
+
 def _literal(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def merged(words: Column, path: str) -> Column:
-    """The ids of words: array of arrays of ids, from arrays of single bytes' ids."""
+    """The ids of words: array of arrays of ids, from arrays of the words' codes.
+
+    The tables stand in the plan once, as one struct that the lambdas share, so that plans stay small on the driver.
+    """
     entries, moves, bits = rank_slots(path)
-    slots, shifts = _literal(entries), _literal(moves)
+    tables = F.struct(_literal(entries).alias("slots"), _literal(moves).alias("shifts"), _literal(starts(path)).alias("start"))
+    return F.get(F.transform(F.array(tables), lambda t: _folded(words, t["slots"], t["shifts"], t["start"], bits)), F.lit(0))
+
+
+def _folded(words: Column, slots: Column, shifts: Column, start: Column, bits: int) -> Column:
     long = lambda x: F.lit(x).cast("long")
 
     def rank(a: Column, b: Column) -> Column:
-        """A pair's rank, or NONE: the entry without the pair's bits is the rank if the entry is the pair's."""
+        """A pair's rank, or NONE: the entry without the pair's bits is the rank if the entry is the pair's, else more."""
         key = F.shiftleft(a, 16).bitwiseOR(b)
         h = key * long(_MULTIPLIER)
-        move = F.get(shifts, F.shiftright(h, 12).bitwiseAND(long((1 << bits - 2) - 1)).cast("int"))
-        entry = F.get(slots, (F.shiftright(h, 40) + move).bitwiseAND(long((1 << bits) - 1)).cast("int"))
-        found = entry.bitwiseXOR(F.shiftleft(key, 17))
-        return F.when(found.between(0, NONE - 1), found).otherwise(long(NONE))
+        move = F.get(shifts, F.shiftright(h, 12).bitwiseAND(long((1 << bits - 2) - 1)))
+        entry = F.get(slots, (F.shiftright(h, 40) + move).bitwiseAND(long((1 << bits) - 1)))
+        return F.least(entry.bitwiseXOR(F.shiftleft(key, 17)), long(NONE))
 
     packed = lambda r, i: F.shiftleft(r, 16).bitwiseOR(i)
     own = lambda x: x.bitwiseAND(long(0xFFFF))
@@ -108,11 +148,11 @@ def merged(words: Column, path: str) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         def join(least: Column) -> Column:
-            def at(i: Column) -> Column:
+            def at(i: Column) -> Column:  # i counts from 1
                 new = F.shiftright(least, 16)
-                left = F.when(i > 1, bind(own(F.get(state, i - 2)), lambda x: F.array(packed(rank(x, new), x)))).otherwise(F.array().cast("array<bigint>"))
                 right = F.when(i + 1 < F.size(state), rank(new, own(F.get(state, i + 1)))).otherwise(long(NONE))
-                return F.concat(F.slice(state, F.lit(1), F.greatest(i - 2, F.lit(0))), left, F.array(packed(right, new)), F.slice(state, i + 2, F.size(state)))
+                changed = lambda x, k: F.when((k < i - 2) | (k > i), x).when(k == i, long(-1)).when(k == i - 1, packed(right, new)).otherwise(packed(rank(own(x), new), own(x)))
+                return F.array_remove(F.transform(state, changed), long(-1))
 
             return F.when(least < long(NONE << 16), bind(F.array_position(state, least).cast("int"), at)).otherwise(state)
 
@@ -120,16 +160,16 @@ def merged(words: Column, path: str) -> Column:
 
     def fold(word: Column) -> Column:
         n = F.size(word)
-        start = F.transform(word, lambda x, i: F.when(i + 1 < n, packed(rank(x, F.get(word, i + 1)), x)).otherwise(packed(long(NONE), x)))
+        first = F.transform(word, lambda x: F.get(start, x))
         ends = lambda s: F.transform(s, lambda x: own(x).cast("int"))
-        return F.when(n < 2, word.cast("array<int>")).otherwise(F.aggregate(F.sequence(F.lit(2), n), start, step, ends))
+        return F.when(n < 2, ends(first)).otherwise(F.aggregate(F.sequence(F.lit(2), n), first, step, ends))
 
     return F.transform(words, fold)
 
 
 # --- texts to words, words to texts --------------------------------------------------------------------------------
 
-_PLACED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("first", pa.bool_()), ("words", pa.list_(pa.list_(pa.int64()))), ("of", pa.binary())])
+_PLACED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("first", pa.bool_()), ("words", pa.list_(pa.list_(pa.int32()))), ("of", pa.binary())])
 
 
 class _Index(dict):
@@ -146,12 +186,16 @@ def _runs(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return values[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _cut(path: str, pattern: str) -> Callable:
-    """Batches of (doc_id, text_hash, text) to rows that list a block's distinct words, then rows of its texts."""
+def _cut(path: str, pattern: str, frequent=None) -> Callable:
+    """Batches of (doc_id, text_hash, text) to rows that list a block's distinct words, then rows of its texts.
+
+    frequent: a broadcast dict of words whose ids are known already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, find = read_ranks(path), word_pattern(pattern).findall
-        single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        find = word_pattern(pattern).findall
+        done = dict(frequent.value) if frequent is not None else {}
+        done.update((w, (r,)) for w, r in read_ranks(path).items())
 
         def block(ids: list, hashes: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
             # A text is cut at single blanks first and each distinct piece is cut into words once: no word spans a
@@ -161,32 +205,41 @@ def _cut(path: str, pattern: str) -> Callable:
             of = []
             for t in texts:
                 cut = (b"\xff" + t).split(b" ")
-                of.append(np.fromiter(map(piece.__getitem__, cut), np.int64, len(cut)))
+                of.append(np.fromiter(map(piece.__getitem__, cut), np.int32, len(cut)))
             word = _Index()
-            parts, trails = [], np.zeros(len(piece), bool)
+            counts, flat = np.zeros(len(piece), np.int32), array("i")
+            trails = np.zeros(len(piece), bool)
             for i, p in enumerate(piece):
-                s = (p[1:] if p[:1] == b"\xff" else b" " + p).decode("utf-8", "replace")
-                trails[i] = bool(s) and _TRAILS.search(s) is not None
-                parts.append([word[w] for w in find(s)])
-            n = np.array([len(x) for x in parts], np.int64)
-            flat = np.array([w for x in parts for w in x], np.int64)
+                if p.isalpha():  # ASCII letters alone are one word, and one mark after them is another
+                    flat.append(word[b" " + p])
+                    counts[i] = 1
+                elif p[-1:] in _MARKS and p[:-1].isalpha():
+                    flat.append(word[b" " + p[:-1]])
+                    flat.append(word[p[-1:]])
+                    counts[i] = 2
+                else:
+                    s = (p[1:] if p[:1] == b"\xff" else b" " + p).decode("utf-8", "replace")
+                    trails[i] = s[-1:] not in _VISIBLE and _TRAILS.search(s) is not None
+                    found = [word[w.encode()] for w in find(s)]
+                    flat.extend(found)
+                    counts[i] = len(found)
+            n, flat = counts.astype(np.int64), np.array(flat, np.int32)
             starts = np.cumsum(n) - n
+            piece.clear()
             placed = []
             for t, x in zip(texts, of):
                 if trails[x[:-1]].any():
-                    placed.append(np.array([word[w] for w in find(t.decode("utf-8", "replace"))], np.int64))
+                    placed.append(np.array([word[w.encode()] for w in find(t.decode("utf-8", "replace"))], np.int32))
                 else:
                     placed.append(_runs(flat, starts[x], n[x]))
+            del of
             listed = list(word)
+            word.clear()
             for i in range(0, max(1, len(listed)), CHUNK):
-                some = [w.encode() for w in listed[i : i + CHUNK]]
-                whole = [ranks.get(w, -1) for w in some]  # a word that is a piece needs no merging
-                lengths = np.array([1 if r >= 0 else len(w) for w, r in zip(some, whole)], np.int64)
-                values = single[np.frombuffer(b"".join(w if r < 0 else b"\0" for w, r in zip(some, whole)), np.uint8)]
-                at = np.cumsum(lengths) - lengths
-                known = np.array(whole, np.int64)
-                values[at[known >= 0]] = known[known >= 0]
-                inner = pa.ListArray.from_arrays(pa.array(np.append(at, len(values)), pa.int32()), pa.array(values))
+                some = listed[i : i + CHUNK]
+                values, lengths = codes(some, [done.get(w) for w in some])
+                at = np.append(0, np.cumsum(lengths))
+                inner = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
                 outer = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), inner)
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i == 0]), outer, pa.nulls(1, pa.binary())], schema=_PLACED)
             for i in range(0, len(ids), 256):
@@ -239,11 +292,49 @@ def _put_together(schema: pa.Schema, make: Callable) -> Callable:
     return run
 
 
+#: Texts from which frequent words are taken, words taken from each task of that sample and in all.
+SAMPLE, TOP = 3000, 60_000
+
+
+def frequent_words(docs: DataFrame, path: str, pattern: str) -> dict[bytes, tuple[int, ...]]:
+    """Ids of words that are frequent in a sample of about SAMPLE texts: TOP words at most, merged once for all tasks.
+
+    It only spares work: a word has the same ids whether it is in here or not.
+    """
+    spark = docs.sparkSession
+    n = docs.count()
+    dice = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("bpe")), F.lit(1 << 30)) / float(1 << 30)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, found = word_pattern(pattern).findall, Counter()
+        for b in batches:
+            for t in each_text(b.column(0)):
+                found.update(find(t.decode("utf-8", "replace")))
+        top = [(w.encode(), k) for w, k in found.most_common(TOP) if k > 2]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([k for _, k in top], pa.int64())], names=["w", "k"])
+
+    sample = docs.where(dice < SAMPLE / max(n, 1)).select(F.col("text").cast("string").alias("text")).repartition(8)
+    counted = sample.mapInArrow(count, "w binary, k long").groupBy("w").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "w").limit(TOP)
+    ranks = read_ranks(path)
+    words = [bytes(r["w"]) for r in counted.collect() if bytes(r["w"]) not in ranks]
+    rows = []
+    for i in range(0, len(words), 500):
+        some = words[i : i + 500]
+        values, lengths = codes(some, [None] * len(some))
+        ends = np.cumsum(lengths).tolist()
+        rows.append((i, [values[a:b].tolist() for a, b in zip([0, *ends], ends)]))
+    # from an RDD: a local table would be merged on the driver, and a shuffle would have the plan, literals and all, told again
+    ids = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "i int, words array<array<int>>").select("i", merged(F.col("words"), path).alias("ids")).collect() if rows else []
+    return {w: tuple(x) for r in ids for w, x in zip(words[r["i"] : r["i"] + 500], r["ids"])}
+
+
 def _placed(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     need(docs, "doc_id", "text")
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
+    spark.conf.set("spark.sql.maxPlanStringLength", "100000")  # the rank map is in the plan, and the driver keeps plans' texts
+    frequent = spark.sparkContext.broadcast(frequent_words(docs, path, pattern))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    cut = named.mapInArrow(_cut(path, pattern), "doc_id long, text_hash long, first boolean, words array<array<bigint>>, of binary")
+    cut = named.mapInArrow(_cut(path, pattern, frequent), "doc_id long, text_hash long, first boolean, words array<array<int>>, of binary")
     return cut.select("doc_id", "text_hash", "first", merged(F.col("words"), path).alias("words"), "of")
 
 
@@ -288,10 +379,12 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def make(ids: np.ndarray, lengths: np.ndarray):
         pieces = {r: p for p, r in read_ranks(path).items()}
-        flat, ends = ids.tolist(), np.cumsum(lengths).tolist()
-        words = [flat[a:b] for a, b in zip([0, *ends], ends)]
-        spelt = [",".join(map(str, w)).encode() for w in words]
-        decoded = [b"".join([pieces[i] for i in w]) for w in words]
+        ends = np.cumsum(lengths).tolist()
+        spelt, decoded = [], []
+        for a, b in zip([0, *ends], ends):
+            w = ids[a:b].tolist()
+            spelt.append(",".join(map(str, w)).encode())
+            decoded.append(b"".join([pieces[i] for i in w]))
         sha = lambda x: hashlib.sha256(x).hexdigest()
 
         def finish(places):
@@ -299,8 +392,8 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for x in places:
                 of = x.tolist()
                 n.append(int(lengths[x].sum()))
-                a.append(sha(b",".join([spelt[i] for i in of])))
-                b.append(sha(b"".join([decoded[i] for i in of])))
+                a.append(sha(b",".join(map(spelt.__getitem__, of))))
+                b.append(sha(b"".join(map(decoded.__getitem__, of))))
             return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
 
         return finish
