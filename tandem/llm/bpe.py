@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import each_text, need, prepare
 
 #: Bytes of text that list their distinct words together, and words in a row of the list.
-BLOCK, CHUNK = 32 << 20, 1024
+BLOCK, CHUNK = 16 << 20, 1024
 #: White space by Unicode, which \\s means in the tokenizers' own library (Python's classes differ).
 SPACE = r"\t-\r \x85\xa0  -     　"
 _TRAILS = regex.compile(rf"[{SPACE}]\Z")
