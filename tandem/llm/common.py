@@ -166,16 +166,19 @@ def without_rows(df: DataFrame, keys: list[Column], drop: DataFrame, bound: int
     return named.join(F.broadcast(drop) if small else drop.hint("merge"), _same(own, other), "left_anti").drop(*own)
 
 
-def one_row_each(df: DataFrame, keyed: DataFrame) -> DataFrame:
-    """df with one row of each doc_id. keyed: a stored table with a row (doc_id) for each row of df; only doc_ids that are
-    repeated there are looked for in df, mostly none."""
-    again = written(keyed.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+def one_row_each(df: DataFrame, keyed: DataFrame, by: str, text_hash: Column) -> DataFrame:
+    """df with one row of each (doc_id, by), nulls included. keyed: a stored table with a row (doc_id, text_hash, by) for each
+    row of df, where text_hash is what the column of that name gives in df. Only what is repeated there is looked for in df."""
+    again = keyed.groupBy("doc_id", by).count().where("count > 1").toDF("_d", "_b", "_n")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col(by).eqNullSafe(F.col("_b"))
+    again = written(keyed.join(again, same, "left_semi").select("doc_id", "text_hash", by).distinct(), "repeated")
     if again.isEmpty():
         return df
-    key, (own, other) = F.col("doc_id").cast("long"), free_names(df, 2)
-    single = without_rows(df, [key], again)
-    several = df.select("*", key.alias(own)).join(again.toDF(other), _same([own], [other]), "left_semi").drop(own)
-    return single.unionByName(several.dropDuplicates(["doc_id"]))
+    keys, names = [F.col("doc_id").cast("long"), text_hash], free_names(df, 5)
+    single = without_rows(df, keys, again.select("doc_id", "text_hash"))
+    named = df.select("*", *[k.alias(n) for k, n in zip(keys, names)])
+    several = named.join(again.toDF(*names[2:]), _same(names[:2], names[2:4]))
+    return single.unionByName(several.dropDuplicates([names[0], names[4]]).drop(*names))
 
 
 def need(df: DataFrame, *names: str) -> None:

@@ -182,4 +182,4 @@ def unique_texts(docs: DataFrame) -> DataFrame:
     drop = found.where("not kept").select(F.col("doc_id").alias("k0"), F.col("text_hash").alias("k1")).distinct()
     text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     kept = without_rows(docs, [F.col("doc_id").cast("long"), text], written(drop, "dropped"))
-    return one_row_each(kept, found.where("kept"))
+    return one_row_each(kept, found.where("kept"), "text_sha256", text)

@@ -221,9 +221,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays, whole and unchanged.
 
-    Rows repeated with one doc_id and text count as one row; one copy stays.
+    doc_id is taken for a key: of rows with one doc_id that would stay, or of those without any, one does. Where different
+    texts may share a doc_id or have none, take nearcopies.one_of_each.
     """
     found = written(near_duplicates(docs, **options), "near")
     drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k0"), F.col("text_hash").alias("k1")).distinct()
     kept = without_rows(docs, [F.col("doc_id").cast("long"), F.xxhash64("text")], written(drop, "dropped"))
-    return one_row_each(kept, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return one_row_each(kept, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "component_id", F.xxhash64("text"))
