@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 A text's words (lower-cased in A-Z, joined by single blanks) are searched for rules: regular expressions, each with a
-label, a priority and a keyword that its matches hold. Texts without any keyword are passed over after a substring
-search; in the others, only rules whose keyword occurs are tried. Of overlapping detections the higher priority stays,
+label, a priority and keywords, of which its matches hold one. Texts without any keyword are passed over after a substring
+search; in the others, only rules of which a keyword occurs are tried. Of overlapping detections the higher priority stays,
 and of equal priority the one that contains the other.
 """
 
@@ -24,10 +24,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 _L = "licen[cs]es?"
-#: label, keyword, how the license is called, how machine-readable lines call it. Words are those of a text, so a version
+#: label, keywords (any match holds one of them), how the license is called, how machine-readable lines call it. Words are those of a text, so a version
 #: such as 2.0 is "2 0". Longer names stand for themselves; what may follow a name is part of it.
 LICENSES = [
-    ("mit", "mit", rf"(?:mit|expat|mit x11|mit expat)(?: style)? {_L}", "mit"),
+    ("mit", "mit|expat", rf"(?:mit|expat|mit x11|mit expat)(?: style)? {_L}", "mit"),
     ("mit-0", "mit", rf"mit no attribution(?: {_L})?", "mit 0"),
     ("apache-1.1", "apache", rf"apache(?: software)? {_L} (?:version |v )?1 1", "apache 1 1"),
     ("apache-2", "apache", rf"apache(?: software)? {_L} (?:version |v )?2(?: 0)?", "apache 2 0"),
@@ -48,7 +48,7 @@ LICENSES = [
     ("lgpl-2.1", "lesser general", rf"(?:gnu )?lesser general public {_L} (?:version |v )?2 1(?: only| or later)?", "gnu lgpl 2 1"),
     ("lgpl-3", "lgpl", r"(?:gnu )?lgpl ?(?:version |v)?3(?: 0)?(?: only| or later)?", "lgpl 3 0(?: only| or later)?"),
     ("lgpl-3", "lesser general", rf"(?:gnu )?lesser general public {_L} (?:version |v )?3(?: 0)?(?: only| or later)?", "gnu lgpl 3"),
-    ("lgpl", "lesser general", rf"(?:gnu )?(?:lesser|library) general public {_L}", "gnu lgpl"),
+    ("lgpl", "lesser general|library general", rf"(?:gnu )?(?:lesser|library) general public {_L}", "gnu lgpl"),
     ("agpl-3", "agpl", r"(?:gnu )?agpl ?(?:version |v)?3(?: 0)?(?: only| or later)?", "agpl 3 0(?: only| or later)?"),
     ("agpl-3", "affero", rf"(?:gnu )?affero general public {_L}(?: (?:version |v )?3(?: 0)?)?(?: only| or later)?", "gnu agpl 3"),
     ("gfdl", "documentation", rf"gnu free documentation {_L}(?: version 1 [0-3])?", "gfdl 1 [0-3](?: only| or later)?"),
@@ -74,7 +74,7 @@ LICENSES = [
     ("artistic-2", "artistic", rf"artistic {_L} (?:version |v )?2(?: 0)?", "artistic 2 0"),
     ("artistic", "artistic", rf"artistic {_L}", "artistic"),
     ("perl", "perl", r"same terms as perl(?: itself)?", "perl"),
-    ("python-2", "python", rf"(?:python software foundation|psf|python) {_L}(?: version 2)?", "(?:python|psf) 2 0"),
+    ("python-2", "python|psf", rf"(?:python software foundation|psf|python) {_L}(?: version 2)?", "(?:python|psf) 2 0"),
     ("php-3", "php", rf"php {_L}(?: version)? ?(?:3 0(?:1)?)?", "php 3 01?"),
     ("ruby", "ruby", rf"ruby {_L}", "ruby"),
     ("openssl", "openssl", rf"openssl {_L}", "openssl"),
@@ -82,7 +82,7 @@ LICENSES = [
     ("ms-pl", "microsoft", rf"microsoft public {_L}", "ms pl"),
     ("ms-rl", "microsoft", rf"microsoft reciprocal {_L}", "ms rl"),
     ("ofl-1.1", "open font", rf"(?:sil )?open font {_L}(?: version)? ?(?:1 [01])?", "ofl 1 1"),
-    ("odbl", "open database", rf"open (?:data commons )?(?:open )?database {_L}(?: (?:version |v )?1 0)?", "odbl 1 0"),
+    ("odbl", "open database|commons database", rf"open (?:data commons )?(?:open )?database {_L}(?: (?:version |v )?1 0)?", "odbl 1 0"),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
     ("cc-by-nc-nd", "cc by", r"cc by nc nd(?: [1-4] [05])?", "cc by nc nd [1-4] [05]"),
     ("cc-by-nc-nd", "creative commons", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?(?: [1-4] [05])?", "creative commons by nc nd"),
@@ -111,16 +111,16 @@ FORMS = [
     (40, " NAME"),
 ]
 #: Any match holds one of these in its lower-cased words.
-KEYWORDS = ("licen", "cc", "gpl", "apache", "bsd", "mpl", "cddl", "eupl", "wtfpl", "perl", "creative", "domain", "reserved")
+KEYWORDS = ("licen", "cc", "gpl", "apache", "bsd", "mpl", "cddl", "eupl", "wtfpl", "perl", "creative", "domain", "reserved", "attribution")
 
 
 def rules() -> list[dict]:
     """All rules in order: each form for each license. A match ends before a blank and begins with one."""
     out = []
     for priority, form in FORMS:
-        for label, keyword, name, machine in LICENSES:
+        for label, keywords, name, machine in LICENSES:
             regex = form.replace("NAME", f"(?:{name})").replace("ID", f"(?:{machine})") + "(?= )"
-            out.append({"rule": len(out), "label": label, "priority": priority, "keyword": "spdx" if "spdx" in form else keyword, "regex": regex})
+            out.append({"rule": len(out), "label": label, "priority": priority, "keywords": ("spdx",) if "spdx" in form else tuple(keywords.split("|")), "regex": regex})
     return out
 
 
@@ -170,12 +170,12 @@ def scan(docs: DataFrame) -> DataFrame:
     base = F.concat(*[phrase_places(*x) for x in BASE.items()])
     x = x.withColumn("base", F.when(words.isNotNull(), base).otherwise(F.array().cast(none)))
 
-    groups: dict[str, list[dict]] = {}
+    groups: dict[tuple[str, ...], list[dict]] = {}
     for r in rules():
-        groups.setdefault(r["keyword"], []).append(r)
-    listed = json.dumps([{"keyword": k, "rules": [{n: r[n] for n in ("rule", "label", "priority", "regex")} for r in rs]} for k, rs in groups.items()])
-    literal = F.from_json(F.lit(listed), "array<struct<keyword: string, rules: array<struct<rule: int, label: string, priority: int, regex: string>>>>")
-    tried = F.flatten(F.transform(F.filter(literal, lambda g: F.contains(words, g["keyword"])), lambda g: g["rules"]))
+        groups.setdefault(r["keywords"], []).append(r)
+    listed = json.dumps([{"keywords": k, "rules": [{n: r[n] for n in ("rule", "label", "priority", "regex")} for r in rs]} for k, rs in groups.items()])
+    literal = F.from_json(F.lit(listed), "array<struct<keywords: array<string>, rules: array<struct<rule: int, label: string, priority: int, regex: string>>>>")
+    tried = F.flatten(F.transform(F.filter(literal, lambda g: F.exists(g["keywords"], lambda k: F.contains(words, k))), lambda g: g["rules"]))
     of_rule = lambda r: F.transform(_places(words, r["regex"]), lambda p: F.struct(r["rule"].alias("rule"), r["label"].alias("label"), r["priority"].alias("priority"), p["first"].alias("first"), p["last"].alias("last")))
     kind = "array<struct<rule: int, label: string, priority: int, first: int, last: int>>"
     x = x.withColumn("all", F.when(words.isNotNull(), F.flatten(F.transform(tried, of_rule))).otherwise(F.array().cast(kind)))
