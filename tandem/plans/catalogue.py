@@ -20,6 +20,8 @@ from ..sources.shared import new_path
 from . import networks
 
 DAY, MINUTE = 86_400_000_000, 60_000_000
+#: A window of doc_ids that spans any table.
+WHOLE = 1 << 40
 
 _POSTS = """
 select cast(event_id as {string}) as message_id, cast(user_id as {string}) as user_id, concat('user_', cast(user_id as {string})) as username,
@@ -170,6 +172,24 @@ def co_similar_own_function(spark, sf_dir):
     return networks.co_similar_tweet(text_posts(spark, sf_dir), 10, 0.8, similarity=text.jaccard)
 
 
+# The same over the whole table: no SQL, for that compares all pairs of texts; tests compare with brute force.
+
+
+@_query()
+def co_similar_docs_whole(spark, sf_dir):
+    return networks.co_similar_tweet(text_posts(spark, sf_dir), WHOLE, 0.8)
+
+
+@_query()
+def co_similar_min_size_whole(spark, sf_dir):
+    return networks.co_similar_tweet(text_posts(spark, sf_dir), WHOLE, 0.5, min_document_size=30)
+
+
+@_query()
+def co_similar_own_function_whole(spark, sf_dir):
+    return networks.co_similar_tweet(text_posts(spark, sf_dir), WHOLE, 0.8, similarity=text.jaccard)
+
+
 @_query(_edges_sql(POSTS, "a.repost_id = b.repost_id and a.username <> b.username", DAY))
 def custom_network(spark, sf_dir):
     different = lambda pairs: F.col("username1") != F.col("username2")
