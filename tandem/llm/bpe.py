@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import each_text, need, prepare
 
 #: Bytes of text that are cut together, words in a row of a list, and words after which a task forgets those it listed.
-BLOCK, CHUNK, WORDS = 4 << 20, 1024, 500_000
+BLOCK, CHUNK, WORDS = 2 << 20, 1024, 120_000
 #: Bytes of a word up to which merges are folded in the JVM, where a step looks at all that is left of the word. Longer
 #: ones (runs of letters without a blank) go through a heap, so that time stays near their length.
 LONG = 2048

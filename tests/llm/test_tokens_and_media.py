@@ -80,10 +80,11 @@ def test_byte_bpe(spark, docs, odd, nothing):
 
 
 def test_blocks_follow_each_other(spark, docs, monkeypatch):
-    """Several blocks in a task, several lists of words in a block."""
+    """Several blocks in a task, several lists of words in a block, and words forgotten between blocks."""
     batches = [b for b in docs.select("doc_id", "doc_id", "text").toArrow().to_batches(max_chunksize=37)]
     monkeypatch.setattr(bpe, "BLOCK", 40_000)
     monkeypatch.setattr(bpe, "CHUNK", 100)
+    monkeypatch.setattr(bpe, "WORDS", 300)
     cut = list(bpe._cut(BYTES, P.PATTERN)(iter(batches)))
     assert sum(b.column(2).to_pylist().count(True) for b in cut) > 3
     listed = [x for b in cut for x in b.column(3).to_pylist() if x]
