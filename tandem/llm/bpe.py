@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import each_text, need, prepare
 
 #: Bytes of text that are cut together, words in a row of a list, and words after which a task forgets those it listed.
-BLOCK, CHUNK, WORDS = 2 << 20, 1024, 120_000
+BLOCK, CHUNK, WORDS = 4 << 20, 1024, 500_000
 #: Bytes of a word up to which merges are folded in the JVM, where a step looks at all that is left of the word. Longer
 #: ones (runs of letters without a blank) go through a heap, so that time stays near their length.
 LONG = 2048
@@ -268,15 +268,16 @@ class _Cutter:
         return found
 
 
-def _cut(path: str, pattern: str) -> Callable:
+def _cut(path: str, pattern: str, most_bytes: int | None = None, most_words: int | None = None) -> Callable:
     """Batches of (doc_id, text_hash, text) to rows that list words the task meets first (those that need merging by their
     codes, the others by their ids), each followed by rows of the texts that hold them. first: earlier lists are forgotten."""
+    most_bytes, most_words = most_bytes or BLOCK, most_words or WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, cutter = read_ranks(path), _Cutter(pattern)
 
         def block(ids: list, hashes: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-            if len(cutter.word) > WORDS or len(cutter.piece) > 2 * WORDS:
+            if len(cutter.word) > most_words or len(cutter.piece) > 2 * most_words:
                 cutter.clear()
             first = not cutter.listed
             placed = cutter.places(texts)
@@ -298,7 +299,7 @@ def _cut(path: str, pattern: str) -> Callable:
                 hashes.append(h)
                 texts.append(t)
                 size += len(t) + 64
-                if size >= BLOCK:
+                if size >= most_bytes:
                     yield from block(ids, hashes, texts)
                     ids, hashes, texts, size = [], [], [], 0
         if ids:
@@ -364,12 +365,12 @@ def _put_together(schema: pa.Schema, words: Callable[[], _Words]) -> Callable:
     return run
 
 
-def _placed(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def _placed(docs: DataFrame, path: str, pattern: str, most_bytes: int | None = None, most_words: int | None = None) -> DataFrame:
     need(docs, "doc_id", "text")
     spark = prepare(docs.sparkSession)
     spark.conf.set("spark.sql.maxPlanStringLength", "20000")  # the rank map is in the plan, and the driver keeps plans' texts
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return named.mapInArrow(_cut(path, pattern), _PLACED_SQL).select("doc_id", "text_hash", "first", merged(F.col("words"), path).alias("words"), "known", "of")
+    return named.mapInArrow(_cut(path, pattern, most_bytes, most_words), _PLACED_SQL).select("doc_id", "text_hash", "first", merged(F.col("words"), path).alias("words"), "known", "of")
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -401,10 +402,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.withColumn("decoded", joined("ids"))
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, most_bytes: int | None = None, most_words: int | None = None) -> DataFrame:
     """doc_id, text_hash, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the decoded bytes).
 
     The same as from encode and decode, in every case those name; ids and pieces are joined for each distinct word once.
+    most_bytes and most_words (BLOCK and WORDS if not given) bound a task's memory against its time; results don't depend on them.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
     sha = lambda x: hashlib.sha256(x).hexdigest()
@@ -435,4 +437,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 b.append(sha(b"".join(map(self.decoded.__getitem__, of))))
             return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
 
-    return _placed(docs, path, pattern).mapInArrow(_put_together(schema, Spelt), "doc_id long, text_hash long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _placed(docs, path, pattern, most_bytes, most_words).mapInArrow(_put_together(schema, Spelt), "doc_id long, text_hash long, n_tokens long, ids_sha256 string, decoded_sha256 string")
