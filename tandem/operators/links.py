@@ -65,10 +65,11 @@ def resolve_pending(urls: DataFrame, resolved: DataFrame | None, resolver: Calla
                 time.sleep(max(0.0, pause - (time.monotonic() - began)))
             yield pd.DataFrame(found, columns=["url", "resolved_url", "ssl_verified", "resolved_status"])
 
-    new = pending_urls(urls, resolved).repartition(tasks).mapInPandas(ask, RESOLVED)
+    pending = pending_urls(urls, resolved)
+    new = pending.repartition(tasks).mapInPandas(ask, RESOLVED)
     if resolved is None:
         return new
-    return upsert(resolved, new, "url")
+    return resolved.join(pending.select("url"), "url", "left_anti").unionByName(new)  # by pending's keys: new asks each URL once
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -143,3 +143,18 @@ def test_exports_and_command_line(spark, tmp_path):
         cli.main([db, "compute", kind, "--time_window", "10"], spark)
     with pytest.raises(ValueError, match="csv or graphml"):
         outputs.write_output(None, "co_post", None, "x", "other")
+
+
+def test_each_url_is_asked_once(spark, tmp_path):
+    from tandem.operators import links
+
+    def resolver(url):
+        with open(tmp_path / "asked", "a") as f:
+            f.write(url + "\n")
+        return url, url + "/x", True, "200"
+
+    urls = spark.createDataFrame([(u,) for u in ("a", "b", "c")], "url string")
+    old = links.resolve_pending(urls.where("url = 'c'"), None, lambda u: (u, "old", True, "200"), tasks=2, per_second=0)
+    old = spark.createDataFrame(old.toPandas(), old.schema)
+    found = {r["url"]: r["resolved_url"] for r in links.resolve_pending(urls, old, resolver, tasks=2, per_second=0).collect()}
+    assert found == {"a": "a/x", "b": "b/x", "c": "old"} and sorted((tmp_path / "asked").read_text().split()) == ["a", "b"]
