@@ -158,3 +158,19 @@ def test_each_url_is_asked_once(spark, tmp_path):
     old = spark.createDataFrame(old.toPandas(), old.schema)
     found = {r["url"]: r["resolved_url"] for r in links.resolve_pending(urls, old, resolver, tasks=2, per_second=0).collect()}
     assert found == {"a": "a/x", "b": "b/x", "c": "old"} and sorted((tmp_path / "asked").read_text().split()) == ["a", "b"]
+
+
+def test_stored_tables_leave_settings_and_can_go(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from tandem.sources import shared
+
+    before = spark.conf.get(shared._CLEANUP, None)
+    table = shared.written(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    assert spark.conf.get(shared._CLEANUP, None) == before and table.count() == 7
+    path = table._tandem_path.removeprefix("file://")
+    assert os.path.exists(path)
+    shared.forget(table)
+    assert not os.path.exists(path)
