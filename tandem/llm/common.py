@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_path, shared_dir, written  # noqa: F401  the operators take them from here
+from ..sources.shared import forget, new_path, shared_dir, written  # noqa: F401  the operators take them from here
 
 #: Rows up to which a key set is broadcast (16 bytes each, so 32 MB at most); larger sets are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
