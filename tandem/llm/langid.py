@@ -23,10 +23,16 @@ BUCKETS, ORDERS, MOST_LANGS = 1 << 16, (2, 3), 1000
 #: Characters of texts that are hashed at once.
 _PIECE = 1 << 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numerals that aren't decimal digits.
+_WORD = re.compile(r"[^\W\d_]")
 _A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
+def has_letter(text: str) -> bool:
+    """Whether the text has a character of a letter category (L), which numerals such as a half are not."""
+    return any(m.group().isalpha() for m in _WORD.finditer(text))
+
+
 def hashed(text: bytes) -> np.ndarray:
     """The buckets of a text's character n-grams (A-Z lower-cased, orders 2 and 3; a single character counts as one)."""
     c = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
@@ -90,7 +96,7 @@ class NaiveBayes:
         s = self.scores(texts)
         best = s.argmax(axis=1)
         p = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
-        lettered = np.array([bool(_LETTER.search(t.decode("utf-8", "replace"))) for t in texts], bool)
+        lettered = np.array([has_letter(t.decode("utf-8", "replace")) for t in texts], bool)
         return np.where(lettered, best, -1).tolist(), np.where(lettered, p, 0.0)
 
 

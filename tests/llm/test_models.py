@@ -205,3 +205,11 @@ def test_mix(docs, odd, nothing):
     assert mixing.mixed(odd).columns == odd.columns
     single = Counter(r["doc_id"] for r in mixing.mixed(docs).collect())
     assert max(single.values()) <= 2 and copies
+
+
+def test_letters_are_those_of_unicode():
+    import sys
+    import unicodedata
+
+    for c in map(chr, range(sys.maxunicode + 1)):
+        assert langid.has_letter(f"1 {c}\u00bd") == unicodedata.category(c).startswith("L")
