@@ -192,8 +192,7 @@ def co_similar_own_function_whole(spark, sf_dir):
 
 @_query(_edges_sql(POSTS, "a.repost_id = b.repost_id and a.username <> b.username", DAY))
 def custom_network(spark, sf_dir):
-    different = lambda pairs: F.col("username1") != F.col("username2")
-    return cooccur.cooccurrence(posts(spark, sf_dir), DAY, ["repost_id"], pair_predicate=different, extra=["username"])
+    return cooccur.cooccurrence(posts(spark, sf_dir), DAY, ["repost_id"], differ=["username"])
 
 
 @_query(_edges_sql(POSTS, "a.reply_id = b.reply_id", DAY, 2))
