@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,12 +89,33 @@ def _v1(lines: DataFrame) -> DataFrame:
     )
 
 
+def _names(authors: Column, ids: Column, names: Column) -> Column:
+    """Each author's name: that of the first user of the page with the id, if any."""
+
+    @F.pandas_udf("array<string>")
+    def found(authors: pd.Series, ids: pd.Series, names: pd.Series) -> pd.Series:
+        def one(a, i, n):
+            if a is None:
+                return None
+            of = {} if i is None else dict(zip(reversed(i.tolist()), reversed(n.tolist())))
+            of.pop(None, None)
+            return [of.get(x) for x in a]
+
+        return pd.Series([one(*x) for x in zip(authors, ids, names)], dtype=object)
+
+    return found(authors, ids, names)
+
+
 def _v2(lines: DataFrame) -> DataFrame:
     """Pages (data, includes) and tweets that are flat already."""
     page = lines.withColumn("p", F.from_json("value", f"data string, includes {_USERS}")).withColumn("data", F.coalesce("p.data", "value"))
     items = F.when(F.col("data").startswith("["), F.from_json("data", f"array<struct<{_TWEET}>>")).otherwise(F.array(F.from_json("data", _TWEET)))
-    x = page.select("*", F.posexplode(items).alias("_nth", "t")).where("t.id is not null and t.author_id is not null")
-    author = F.get(F.filter("p.includes.users", lambda u: u["id"] == F.col("t.author_id")), F.lit(0))["username"]
+    page = page.select(*ARRIVAL, "p.includes.users", items.alias("items"))
+    # names are found for a page at once, so that no post carries its page's users along or goes through them
+    names = _names(F.col("items.author_id"), F.col("users.id"), F.col("users.username"))
+    page = page.select(*ARRIVAL, "items", names.alias("names"))
+    x = page.select(*ARRIVAL, F.posexplode(F.arrays_zip("items", "names")).alias("_nth", "z")).select(*ARRIVAL, "_nth", F.col("z.items").alias("t"), F.col("z.names").alias("author")).where("t.id is not null and t.author_id is not null")
+    author = F.col("author")
     last = lambda kind: F.get(F.reverse(F.filter("t.referenced_tweets", lambda r: r["type"] == kind)), F.lit(0))["id"]
     urls = F.transform(F.coalesce("t.entities.urls", F.array().cast("array<struct<expanded_url: string>>")), lambda u: u["expanded_url"])
     return as_input(

@@ -174,3 +174,26 @@ def test_stored_tables_leave_settings_and_can_go(spark):
     assert os.path.exists(path)
     shared.forget(table)
     assert not os.path.exists(path)
+
+
+def test_pages_users_stay_with_the_page(spark, tmp_path):
+    """Names come from the page's first user of the id, else from the post; no post carries its page's users along."""
+    import json
+
+    from tandem.sources import messages
+
+    post = lambda i, a, **more: {"id": str(i << 22), "author_id": a, "text": f"t{i}", **more}
+    pages = [
+        {"data": [post(1, "a"), post(2, "b"), post(3, "c", author={"username": "own"}), post(4, "d", author={"username": "own"})], "includes": {"users": [{"id": "a", "username": "first"}, {"id": "a", "username": "second"}, {"id": "c", "username": None}, {"username": "nobody"}]}},
+        {"data": [post(5, "a"), post(6, "e", author={"username": "e6"})]},
+        post(7, "a", author={"username": "flat"}),
+        {"data": [post(10 + i, f"u{i}") for i in range(500)], "includes": {"users": [{"id": f"u{i}", "username": f"n{i}"} for i in range(500)]}},
+    ]
+    path = tmp_path / "pages.json"
+    path.write_text("\n".join(map(json.dumps, pages)))
+    found = messages.read_posts_json(spark, [str(path)])
+    got = {int(r["message_id"]) >> 22: r["username"] for r in found.collect()}
+    assert got == {1: "first", 2: None, 3: "own", 4: "own", 5: None, 6: "e6", 7: "flat"} | {10 + i: f"n{i}" for i in range(500)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[plan.rindex("Union") : plan.rindex("Generate posexplode")]
+    assert "includes" not in above and "users" not in above
