@@ -382,8 +382,12 @@ def graphml_export(spark, sf_dir):
         path = str(Path(d) / "network.graphml")
         p = posts(spark, sf_dir)
         outputs.write_graphml(networks.co_retweet(p, DAY, 2), "co_retweet", p, path)
-        found = Path(path).read_text()
-    return spark.createDataFrame([(k, found.count(f"<{k} ")) for k in ("node", "edge", "key")], "element string, n long")
+        found = dict.fromkeys(("node", "edge", "key"), 0)
+        with Path(path).open(encoding="utf-8") as f:
+            for line in f:  # a line holds whole tags
+                for k in found:
+                    found[k] += line.count(f"<{k} ")
+    return spark.createDataFrame(list(found.items()), "element string, n long")
 
 
 def queries() -> dict[str, Query]:

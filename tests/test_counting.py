@@ -52,3 +52,22 @@ def test_frame(spark):
 def test_no_table_of_pairs(spark, name):
     plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_graphml_counts_network_once(spark, tmp_path, monkeypatch):
+    """Edges are stored before ordering and the nodes read them, and the store is gone afterwards."""
+    from pyspark.sql import functions as F
+
+    from tandem.operators import outputs
+
+    stored, gone = [], []
+    monkeypatch.setattr(outputs, "written", lambda df, name, f=outputs.written: stored.append(f(df, name)) or stored[-1])
+    monkeypatch.setattr(outputs, "forget", lambda *t, f=outputs.forget: gone.extend(t) or f(*t))
+    rows = [(f"m{i}", f"u{i % 4}", f"n{i % 4}", "r", f"text\n{i}", i) for i in range(12)]
+    m = spark.createDataFrame(rows, "message_id string, user_id string, username string, repost_id string, message string, timestamp long")
+    network = cooccurrence(m, 3, ["repost_id"])
+    path = tmp_path / "n.graphml"
+    outputs.write_graphml(network, "co_retweet", m, str(path))
+    want = {(r["user_1"], r["user_2"]) for r in network.where(F.col("user_1") != F.col("user_2")).collect()}
+    assert stored == gone and len(stored) == 1
+    assert path.read_text().count("<edge ") == len(want) and path.read_text().count("<node ") == 4
