@@ -1,7 +1,8 @@
 """Pairs within a time window whose token sets are alike.
 
 For a threshold above 0, two sets can only be as similar if they share one of their few rarest tokens (a prefix of each)
-and are of similar size. So pairs are looked up by (bucket, prefix token) and verified in full; none is lost.
+and are of similar size. So pairs are looked up by (bucket, prefix token) and verified in full; none is lost. Where the window
+spans the table, alike does the same without a table of what meets.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
+from .alike import weights
 from .cooccur import active_users, band_pairs, sides, weighted
 
 _LESS = 1e-9  #: so that rounding only widens the prefix
@@ -39,6 +41,12 @@ def similar_pairs(rows: DataFrame, window: float, threshold: float) -> DataFrame
     return whole.where(jaccard(F.col("tokens1"), F.col("tokens2")) >= threshold).drop("tokens1", "tokens2")
 
 
+def _spans(rows: DataFrame, window: float) -> bool:
+    """Whether all times lie within the window of each other."""
+    first, last = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
+    return first is not None and first + window >= last and last - window <= first
+
+
 def similarity_network(
     rows: DataFrame, window: float, threshold: float, min_edge_weight: int = 1, min_size: int = 0, similarity: Callable[[Column, Column], Column] | None = None
 ) -> DataFrame:
@@ -46,7 +54,14 @@ def similarity_network(
 
     Two empty sets are not alike. A similarity of one's own, or a threshold of 0 or less, is tried on all pairs of the
     window; Jaccard above 0 uses the prefixes. Sets under min_size are similar by 0 to any.
+
+    If the window spans all rows, tables are stored at once, and a similarity of one's own is spared most pairs if it has an
+    attribute ``least_jaccard``: a function of the threshold to the least Jaccard similarity of two sets that are alike.
     """
+    bound = threshold if similarity is None else getattr(similarity, "least_jaccard", lambda t: 0)(threshold)
+    if bound > 0 and _spans(rows, window):
+        sized = rows.where(F.col("timestamp").isNotNull() & (F.size("tokens") >= (max(1, min_size) if similarity is None else 1)))
+        return weighted(weights(sized, bound, similarity or jaccard, threshold, similarity is None), min_edge_weight)
     if similarity is None and threshold > 0:
         sized = rows.where(F.size("tokens") >= max(1, min_size))
         return weighted(similar_pairs(sized, window, threshold), min_edge_weight)
