@@ -52,6 +52,9 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
 
 
+jaccard.least_jaccard = lambda threshold: threshold  #: so that it is not tried on all pairs where it is given as one's own
+
+
 def jaccard_of_size(least: int) -> Callable[[Column, Column], Column]:
     """Jaccard that is 0 if either set has fewer than ``least`` tokens; without a bound for 0 or less."""
     if least <= 0:
