@@ -16,8 +16,10 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ WINDOW = 8
 WORDS, PACK = 1_200_000, 32 << 20
 #: Marks at a word's end that are pre-tokens of their own after a letter or digit.
 TAIL = b".,;:!?"
+_TAIL = frozenset(TAIL)
 _PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 MARK = "\x01"
@@ -55,9 +58,9 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.known = _Numbered()
+        self.known: dict[bytes, int] = defaultdict(count().__next__)  # numbers words in the order of their first look-up
         self.ids = np.zeros(0, np.int32)
-        self.lengths = np.zeros(0, np.int64)
+        self.starts = self.lengths = np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -84,34 +87,41 @@ class WordIds:
         """Finds the ids of words numbered since the last call. A word that ends in marks after a letter or digit has
         the ids of its two parts in a row; parts that are new are numbered too."""
         known, first = self.known, len(self.lengths)
-        new, listed = known.new, []
+        new = list(islice(reversed(known), len(known) - first))
+        listed: list[bytes] = []
         place: dict[bytes, int] = {}
-
-        def piece(w: bytes) -> int:
-            if (i := known.get(w, first)) < first:
-                return i
-            if w not in place:
-                place[w] = first + len(listed)
+        heads: list[int] = []
+        tails: list[int] = []
+        for w in reversed(new):
+            tail = -1
+            if w[-1] in _TAIL:
+                stem = w.rstrip(TAIL)
+                if stem and stem[-1] in _PLAIN:
+                    end, w = w[len(stem) :], stem
+                    if (tail := known.get(end, first)) >= first and (tail := place.get(end, -1)) < 0:
+                        tail = place[end] = first + len(listed)
+                        listed.append(end)
+            if (head := known.get(w, first)) >= first and (head := place.get(w, -1)) < 0:
+                head = place[w] = first + len(listed)
                 listed.append(w)
-            return place[w]
-
-        pairs: list[int] = []
-        for w in new:
-            stem = w.rstrip(TAIL)
-            if len(stem) == len(w) or not stem or stem[-1] not in _PLAIN:
-                pairs += (piece(w), -1)
-            else:
-                pairs += (piece(stem), piece(w[len(stem) :]))
+            heads.append(head)
+            tails.append(tail)
         for w in listed:
             if w not in known:
-                known[w] = len(known)
-                pairs += (place[w], -1)
+                known[w]  # looking it up numbers it
+                heads.append(place[w])
+                tails.append(-1)
         found, lengths = self._encoded(listed)
-        ids, lengths = np.concatenate([self.ids, found]), np.concatenate([self.lengths, lengths, [0]])
-        starts, of = np.cumsum(lengths) - lengths, np.array(pairs, np.int64)
-        self.ids = np.concatenate([self.ids, _runs(ids, starts[of], lengths[of])])
-        self.lengths = np.concatenate([self.lengths, lengths[of].reshape(-1, 2).sum(axis=1)])
-        known.new = []
+        # numbers below first are those of words known before; the last one stands for no ids
+        known_lengths, n = self.lengths, len(self.ids)
+        starts = np.concatenate([self.starts, n + np.cumsum(lengths) - lengths, [0]])
+        lengths = np.concatenate([known_lengths, lengths, [0]])
+        of = np.stack([np.array(heads, np.int64), np.array(tails, np.int64)], axis=1).ravel()
+        added = _runs(np.concatenate([self.ids, found]), starts[of], lengths[of])
+        more = lengths[of].reshape(-1, 2).sum(axis=1)
+        self.ids = np.concatenate([self.ids, added])
+        self.starts = np.concatenate([self.starts, n + np.cumsum(more) - more])
+        self.lengths = np.concatenate([known_lengths, more])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Each text's ids. A-Z is lower-cased first, as the tokenizer does itself, so that spellings meet."""
@@ -121,23 +131,9 @@ class WordIds:
         for t in texts:
             words = t.lower().split()
             places.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
-        if self.known.new:
+        if len(self.known) > len(self.lengths):
             self._learn()
-        starts = np.cumsum(self.lengths) - self.lengths
-        return [_runs(self.ids, starts[x], self.lengths[x]) for x in places]
-
-
-class _Numbered(dict):
-    """Numbers words in the order of their first look-up and lists the new ones."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
-        return n
+        return [_runs(self.ids, self.starts[x], self.lengths[x]) for x in places]
 
 
 def _runs(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
