@@ -1,8 +1,9 @@
 """Weights of account pairs, counted without a table of the message pairs.
 
 Rows go into B blocks by user. The cell (i, j) of B x B gets the left rows of block i and the right rows of block j, so all pairs
-of two users meet in one cell, which counts and returns their weights: no pair is shuffled, sorted or stored, and each row is
-sent 2 B times, packed. In a cell right rows lie by key and time, so a left row's window is one run of them. Of a run, a row
+of two users meet in one cell, which counts and returns their weights: no pair is shuffled, sorted or stored. Each row is written
+to the shuffle once, packed, however many blocks there are; a cell reads the two blocks that it needs. In a cell right rows lie
+by key and time, so a left row's window is one run of them. Of a run, a row
 counts if its user's row before it lies outside, or else a message matched twice would count twice; where that first one is
 the left message itself, the user's next one stands in. So each (left row, user) is counted once, without sorting pairs.
 """
@@ -55,11 +56,22 @@ def counted(rows: DataFrame, window: float, keys: Sequence[str] = (), least: int
     for c in used.columns[2:]:
         used = used.where(F.col(c).isNotNull())
     packed = used.mapInArrow(_pack(blocks, whole), "block int, rows binary")
-    places = f"concat(transform(sequence(0, {blocks - 1}), j -> struct(block * {blocks} + j as cell, 1 as side)), transform(sequence(0, {blocks - 1}), i -> struct(i * {blocks} + block as cell, 2 as side)))"
-    cells = packed.select(F.explode(F.expr(places)).alias("at"), "rows").select("at.cell", "at.side", "rows").repartitionById(blocks * blocks, F.col("cell"))
     kind = rows.schema["user_id"].dataType
     schema = T.StructType([T.StructField("user_1", kind), T.StructField("user_2", kind), T.StructField("weight", T.LongType(), False)])
-    return cells.select("side", "rows").mapInArrow(_cell(int(window) if whole else float(window), whole, len(keys), len(differ), least), schema)
+    return met(packed, blocks).mapInArrow(_cell(int(window) if whole else float(window), whole, len(keys), len(differ), least), schema)
+
+
+def met(packed: DataFrame, blocks: int) -> DataFrame:
+    """(left, right), one of them null or both: a partition for each two blocks i and j of packed (block, rows), which gets the rows of i
+    as left and those of j as right, each once.
+
+    A Cartesian product reads a block's one shuffle file for each of its cells. Each block has a row of null besides, and only
+    what meets such a row is passed on, or else every two rows of i and j would be.
+    """
+    none = packed.sparkSession.range(0, blocks, 1, 1).select(F.col("id").cast("int").alias("block"), F.lit(None).cast("binary").alias("rows"))
+    dealt = packed.union(none).repartitionById(blocks, F.col("block"))
+    left, right = (dealt.select(F.col("rows").alias(c)) for c in ("left", "right"))
+    return left.hint("shuffle_replicate_nl").join(right, F.col("left").isNull() | F.col("right").isNull())
 
 
 def _pack(blocks: int, whole: bool):
@@ -104,17 +116,17 @@ def _codes(*columns: pa.ChunkedArray) -> tuple[list[np.ndarray], pa.Array]:
 
 
 def _cell(window: float, whole: bool, n_keys: int, n_differ: int, least: int):
-    """The blobs (side, rows) of a cell to its edges."""
+    """The blobs (left, right) of a cell to its edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
         for b in batches:
-            for side, blob in zip(b.column(0).to_pylist(), b.column(1)):
+            for side, blob in ((side, x) for side in (0, 1) for x in b.column(side).drop_null()):
                 one = pa.ipc.open_stream(pa.BufferReader(blob.as_buffer())).read_all()
                 if whole:
                     t = np.cumsum(one.column("t").to_numpy())
                     one = one.set_column(one.schema.get_field_index("t"), "t", pa.array(t))
-                held[side - 1].append(one)
+                held[side].append(one)
         if not (held[0] and held[1]):
             return
         left, right = (pa.concat_tables(x) for x in held)

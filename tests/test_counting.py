@@ -1,5 +1,6 @@
 """Weights counted in cells against brute force, and that no table of pairs is made on the way."""
 
+import math
 import random
 
 import pytest
@@ -54,6 +55,35 @@ def test_no_table_of_pairs(spark, name):
     assert "Join" not in plan and "Aggregate" not in plan
 
 
+def shuffled(df):
+    """Rows that the final plan of a frame that has run wrote to shuffle files."""
+
+    def walk(node):
+        if node.nodeName().endswith("QueryStage"):
+            return walk(node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if node.nodeName() == "Exchange" else 0
+        below = node.children()
+        return own + sum(walk(below.apply(i)) for i in range(below.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan().executedPlan())
+
+
+@pytest.mark.parametrize("partitions", ["4", "30", "150"])
+def test_rows_are_shuffled_once(spark, partitions):
+    """However many blocks there are, what is packed goes to the shuffle once, with a mark for each block."""
+    dice = random.Random(5)
+    rows = [(f"m{i}", f"u{dice.randrange(40)}", dice.randrange(90), dice.choice("xyz"), 1, None) for i in range(300)]
+    df = spark.createDataFrame(rows, "message_id string, user_id string, timestamp long, k string, j int, n string").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = cooccurrence(df, 5, ["k", "j"])
+        assert {tuple(r) for r in got.collect()} == brute(rows, 5)
+        assert shuffled(got) <= 2 * max(4, math.ceil(math.sqrt(int(partitions))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_graphml_counts_network_once(spark, tmp_path, monkeypatch):
     """Edges are stored before ordering and the nodes read them, and the store is gone afterwards."""
     from pyspark.sql import functions as F
