@@ -1,16 +1,18 @@
 """Weights of account pairs by alike texts of a whole table, where no window divides it.
 
-Equal token sets are one set. Sets are looked up by the hashes of their rarest tokens (prefix filter): tokens are dealt out to
-PLACES, and each place gets of a set its tokens there, its size and a bitmap, packed. What meets is tried in the place's
-memory: by sizes, by where the shared token stands, and by the bitmaps, which bound what two sets can share. Only what is left
-leaves it, each pair once, and is compared as whole sets of tokens. Nothing is capped: the sample only says which tokens come
-last and have bits of their own, and any choice leaves the result right. Sets are told apart by 64-bit hashes.
+Equal token sets are one set. Sets are dealt out into B blocks by size, packed: of each its size, a bitmap, the hashes of its rarest
+tokens (prefix filter) and its tokens, compressed. The cell (i, j), i <= j, reads two blocks and finds the pairs between them in
+memory: by sizes, by where the shared token stands, and by the bitmaps, which bound what two sets can share. What is left is
+compared as whole sets of tokens at once, each pair in one cell. So a set is written to the shuffle once and no pair is, however many
+there are. Nothing is capped: samples only say which tokens come last and have bits of their own, and where blocks end, and any
+choice leaves the result right. Sets are told apart by 64-bit hashes.
 
 Weights need no pairs of messages: of each set and user the least and the greatest message id say whether another message is there.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 import zlib
 from collections.abc import Callable, Iterator
@@ -19,34 +21,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.shared import forget, written
+from .counting import met
 
-#: Sets are dealt out to so many places at most; a place holds a part of every set's prefix.
-PLACES = 24
 #: One set in SAMPLE is looked at for frequent tokens, of which MOST are used and HOT have bits of their own; the rest share BITS.
 SAMPLE, MOST, HOT, BITS = 8, 200_000, 256, 1024
 #: Sets of more tokens than LARGE have a second bitmap, in which the tokens that aren't hot share WIDE bits.
 LARGE, WIDE = 400, 4096
-#: Set ids up to which they are broadcast (8 bytes each).
+#: Row or set ids up to which they are broadcast (8 bytes each).
 BROADCAST_ROWS = 2_000_000
-#: Sets packed together, and pairs whose bitmaps are compared together.
-PACKED, PAIRS = 1024, 1 << 15
+#: Sets packed together, pairs whose bitmaps are compared together, and pairs passed on together.
+PACKED, PAIRS, PASSED = 4096, 1 << 15, 256
+#: Sets of one size are dealt out by so many of their ids' remainders.
+PARTS = 1 << 20
 _LESS = 1e-9  #: so that rounding only widens what is compared
 _WORDS = (HOT + BITS) // 64
 
 
-def _packed(frequent: np.ndarray, ranks: np.ndarray, hot: np.ndarray, threshold: float, places: int):
-    """Batches of (node, hashes) to blobs by place: of each set there node, size, spare, bitmap and number of tokens, spare and second
-    bitmap of the large ones, and the tokens with their places in the set's order. spare: tokens that share a bit with another of the set."""
+def _packed(frequent: np.ndarray, ranks: np.ndarray, hot: np.ndarray, threshold: float, cuts: np.ndarray):
+    """Batches of (node, hashes, tokens) to blobs by block: of each set there node, size, spare, number of prefix tokens and bitmap, spare and
+    second bitmap of the large ones, the prefix in the set's order, and the tokens. spare: tokens that share a bit with another of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, len(whole), PACKED):
                 b = whole.slice(i, PACKED)
-                yield dealt(b.column(0).to_numpy(), b.column(1))
+                yield dealt(b.column(0).to_numpy(), b.column(1), b.column(2))
 
-    def dealt(node: np.ndarray, lists: pa.ListArray) -> pa.RecordBatch:
+    def dealt(node: np.ndarray, lists: pa.ListArray, tokens: pa.ListArray) -> pa.RecordBatch:
         flat, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
         owner = np.repeat(np.arange(len(n)), n)
         cold = np.ones(len(flat), bool)
@@ -72,142 +76,165 @@ def _packed(frequent: np.ndarray, ranks: np.ndarray, hot: np.ndarray, threshold:
         order = np.lexsort((flat, rank, owner))
         flat, pos = flat[order], np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
         first = pos < (n - np.ceil(n * threshold - _LESS).astype(np.int64) + 1)[owner]
-        flat, pos, owner = flat[first], pos[first], owner[first]
-        to = (flat.view(np.uint64) >> np.uint64(32)).astype(np.int64) % places
-        order = np.argsort(to, kind="stable")
-        flat, pos, owner, to = flat[order], pos[order].astype(np.int32), owner[order], to[order]
-        cuts = np.searchsorted(to, np.arange(places + 1))
-        found, blobs = [], []
-        for p in np.flatnonzero(np.diff(cuts)):
-            s, e = cuts[p], cuts[p + 1]
-            sets, k = np.unique(owner[s:e], return_counts=True)
-            w = at_wide[sets[large[sets]]]
-            parts = (np.array([len(sets), len(w), e - s]), node[sets], n[sets].astype(np.int32), spare[sets], k.astype(np.int32), maps[sets], wide_spare[w], wide[w], flat[s:e], pos[s:e])
-            found.append(p)
-            blobs.append(pa.compress(b"".join(x.tobytes() for x in parts), "lz4_raw", asbytes=True))
-            blobs[-1] = sum(x.nbytes for x in parts).to_bytes(8, "little") + blobs[-1]
-        return pa.RecordBatch.from_arrays([pa.array(np.array(found, np.int32)), pa.array(blobs, pa.binary())], names=["place", "sets"])
+        flat, owner = flat[first], owner[first]
+        words, at = tokens.flatten().to_numpy(zero_copy_only=False), tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
+        shut = [zlib.compress(pickle.dumps(words[i:j].tolist()), 1) for i, j in zip(at, at[1:])]
+        block = np.searchsorted(cuts, n + node % PARTS / PARTS, "right")
+        found, blobs = np.unique(block), []
+        for p in found:
+            own = block == p
+            sets = np.flatnonzero(own)
+            mine, w, text = own[owner], at_wide[sets[large[sets]]], [shut[i] for i in sets]
+            k, length = np.bincount(owner[mine], minlength=len(n))[sets], np.array([len(x) for x in text], np.int64)
+            parts = (np.array([len(sets), len(w), mine.sum(), length.sum()]), node[sets], n[sets].astype(np.int32), spare[sets], k.astype(np.int32), maps[sets], wide_spare[w], wide[w], flat[mine], length)
+            data = b"".join([*(x.tobytes() for x in parts), *text])
+            head = np.array([p, n[sets].min(), n[sets].max(), len(data)], np.int64)
+            blobs.append(head.tobytes() + pa.compress(data, "lz4_raw", asbytes=True))
+        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(blobs, pa.binary())], names=["block", "rows"])
 
     return run
 
 
+def _heads(blobs: list[bytes]) -> tuple[int, int, int]:
+    """The number of their block, its least and its greatest size."""
+    heads = np.array([np.frombuffer(x, np.int64, 3) for x in blobs])
+    return int(heads[0, 0]), int(heads[:, 1].min()), int(heads[:, 2].max())
+
+
 def _unpacked(blob: bytes) -> list[np.ndarray]:
-    data, at = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "lz4_raw", asbytes=True), 24
-    sets, large, tokens = np.frombuffer(data, np.int64, 3).tolist()
+    data, at = pa.decompress(blob[32:], int(np.frombuffer(blob, np.int64, 4)[3]), "lz4_raw", asbytes=True), 32
+    sets, large, tokens, text = np.frombuffer(data, np.int64, 4).tolist()
     out = []
-    for kind, k in ((np.int64, sets), (np.int32, sets), (np.int32, sets), (np.int32, sets), (np.uint64, sets * _WORDS), (np.int32, large), (np.uint64, large * (WIDE // 64)), (np.int64, tokens), (np.int32, tokens)):
+    for kind, k in ((np.int64, sets), (np.int32, sets), (np.int32, sets), (np.int32, sets), (np.uint64, sets * _WORDS), (np.int32, large), (np.uint64, large * (WIDE // 64)), (np.int64, tokens), (np.int64, sets), (np.uint8, text)):
         out.append(np.frombuffer(data, kind, k, at))
         at += out[-1].nbytes
     return out
 
 
-def _met(threshold: float):
-    """The blobs of a place to the pairs (a, b) of sets that may be alike, a < b, each once."""
+class _Block:
+    """The sets of a block, and their prefix tokens by token and size."""
+
+    def __init__(self, blobs: list[bytes]):
+        parts = [_unpacked(x) for x in blobs]
+        blobs.clear()
+        self.node, self.n, self.spare, k, self.maps, self.wide_spare, self.wide, token, length, self.text = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        self.maps, self.wide, self.at_wide = self.maps.reshape(-1, _WORDS), self.wide.reshape(-1, WIDE // 64), np.cumsum(self.n > LARGE) - 1
+        self.ends = np.concatenate([[0], np.cumsum(length)])
+        of = np.repeat(np.arange(len(self.node), dtype=np.int32), k)
+        pos = np.arange(len(of)) - np.repeat(np.cumsum(k, dtype=np.int64) - k, k)
+        order = np.lexsort((self.n[of], token))
+        self.token, self.of = token[order], of[order]
+        self.size = self.n[self.of].astype(np.int64)
+        self.left = self.size - pos[order]
+
+    def tokens(self, i: int) -> list:
+        return pickle.loads(zlib.decompress(self.text[self.ends[i] : self.ends[i + 1]]))
+
+
+def _pairs(one: _Block, two: _Block, threshold: float) -> np.ndarray:
+    """i * len(two.node) + j of the sets i of one and j of two, none smaller than those of one, that may be alike; within a block each two once."""
+    found, held = np.zeros(0, np.int64), []
+    kinds, code = np.unique(two.token, return_inverse=True)
+    if not len(kinds):
+        return found
+    most_n = int(two.size.max()) + 2
+    key = code * most_n + two.size
+    at = np.minimum(np.searchsorted(kinds, one.token), len(kinds) - 1)
+    since = np.arange(len(one.token)) + 1 if one is two else np.searchsorted(key, at * most_n, "left")
+    until = np.searchsorted(key, at * most_n + np.minimum(np.floor(one.size / threshold + _LESS).astype(np.int64), most_n - 1), "right")
+    until = np.where(kinds[at] == one.token, np.maximum(since, until), since)
+    total = np.concatenate([[0], np.cumsum(until - since)])
+    s = 0
+    while s < len(since):
+        e = max(s + 1, int(np.searchsorted(total, total[s] + PAIRS, "right")) - 1)
+        i = np.repeat(np.arange(s, e), until[s:e] - since[s:e])
+        j = np.arange(len(i)) - np.repeat(total[s:e] - total[s], until[s:e] - since[s:e]) + since[i]
+        s = e
+        most, both = np.minimum(one.left[i], two.left[j]), one.size[i] + two.size[j]
+        may = most >= threshold * (both - most) - _LESS
+        x, y, both = one.of[i[may]], two.of[j[may]], both[may]
+        most = np.bitwise_count(one.maps[x] & two.maps[y]).sum(axis=1, dtype=np.int64) + np.minimum(one.spare[x], two.spare[y])
+        may = most >= threshold * (both - most) - _LESS
+        x, y, both = x[may].astype(np.int64), y[may].astype(np.int64), both[may]
+        large = np.flatnonzero((one.n[x] > LARGE) & (two.n[y] > LARGE))
+        if len(large):
+            v, w = one.at_wide[x[large]], two.at_wide[y[large]]
+            most = np.bitwise_count(one.maps[x[large], : HOT // 64] & two.maps[y[large], : HOT // 64]).sum(axis=1, dtype=np.int64)
+            most += np.bitwise_count(one.wide[v] & two.wide[w]).sum(axis=1, dtype=np.int64) + np.minimum(one.wide_spare[v], two.wide_spare[w])
+            stay = np.ones(len(x), bool)
+            stay[large] = most >= threshold * (both[large] - most) - _LESS
+            x, y = x[stay], y[stay]
+        if one is two:
+            x, y = np.minimum(x, y), np.maximum(x, y)
+        held.append(x * len(two.node) + y)
+        if sum(map(len, held)) > 1 << 20 or len(held) > 4096:
+            found, held = np.unique(np.concatenate([found, *held])), []
+    return np.unique(np.concatenate([found, *held]))
+
+
+def _met(threshold: float, kind: pa.DataType):
+    """The blobs (left, right) of a cell to the pairs (a, b) of sets that may be alike, each once, with their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpacked(x.as_py()) for b in batches for x in b.column(0)]
-        if not parts:
+        held: tuple[list, list] = ([], [])
+        for b in batches:
+            for side in (0, 1):
+                held[side].extend(x.as_py() for x in b.column(side).drop_null())
+        if not (held[0] and held[1]):
             return
-        node, n, spare, k, maps, wide_spare, wide, token, pos = (np.concatenate(x) for x in zip(*parts))
-        parts.clear()
-        maps, wide, at_wide = maps.reshape(-1, _WORDS), wide.reshape(-1, WIDE // 64), np.cumsum(n > LARGE) - 1
-        of = np.repeat(np.arange(len(node), dtype=np.int32), k)
-        order = np.lexsort((n[of], token))  # a place's sets by size, so that those too large for one end its run
-        token, of, pos = token[order], of[order], pos[order]
-        starts = np.flatnonzero(np.diff(token, prepend=token[0] - 1 if len(token) else 0))
-        end = np.repeat(np.append(starts[1:], len(token)), np.diff(np.append(starts, len(token))))
-        size = n[of].astype(np.int64)
-        left = size - pos
-        del token, order, k, starts
-        found, held = np.zeros(0, np.int64), []
-        active, d = np.flatnonzero(end > np.arange(len(of)) + 1), 1
-        while len(active):
-            other = active + d
-            fits = size[active] >= threshold * size[other] - _LESS
-            active, other = active[fits], other[fits]
-            for s in range(0, len(active), PAIRS):
-                i, j = active[s : s + PAIRS], other[s : s + PAIRS]
-                most, total = np.minimum(left[i], left[j]), size[i] + size[j]
-                may = most >= threshold * (total - most) - _LESS
-                x, y, total = of[i[may]], of[j[may]], total[may]
-                most = np.bitwise_count(maps[x] & maps[y]).sum(axis=1, dtype=np.int64) + np.minimum(spare[x], spare[y])
-                may = most >= threshold * (total - most) - _LESS
-                x, y, total = x[may].astype(np.int64), y[may].astype(np.int64), total[may]
-                both = np.flatnonzero((n[x] > LARGE) & (n[y] > LARGE))
-                if len(both):
-                    v, w = at_wide[x[both]], at_wide[y[both]]
-                    most = np.bitwise_count(maps[x[both], : HOT // 64] & maps[y[both], : HOT // 64]).sum(axis=1, dtype=np.int64)
-                    most += np.bitwise_count(wide[v] & wide[w]).sum(axis=1, dtype=np.int64) + np.minimum(wide_spare[v], wide_spare[w])
-                    stay = np.ones(len(x), bool)
-                    stay[both] = most >= threshold * (total[both] - most) - _LESS
-                    x, y = x[stay], y[stay]
-                held.append(np.minimum(x, y) * len(node) + np.maximum(x, y))
-            if sum(map(len, held)) > 1 << 20 or len(held) > 4096:
-                found, held = np.unique(np.concatenate([found, *held])), []
-            d += 1
-            active = active[active + d < end[active]]
-        found = np.unique(np.concatenate([found, *held]))
-        for s in range(0, len(found), 1 << 16):
-            a, b = (node[x] for x in np.divmod(found[s : s + (1 << 16)], len(node)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        (i, _, most), (j, least, _) = (_heads(x) for x in held)
+        if i > j or most < threshold * least - _LESS:
+            return
+        two = _Block(held[1])
+        one = two if i == j else _Block(held[0])
+        held[0].clear()
+        found = _pairs(one, two, threshold)
+        for s in range(0, len(found), PASSED):
+            x, y = np.divmod(found[s : s + PASSED], len(two.node))
+            tokens = [pa.array([block.tokens(i) for i in z], kind) for block, z in ((one, x), (two, y))]
+            yield pa.RecordBatch.from_arrays([pa.array(one.node[x]), pa.array(two.node[y]), *tokens], names=["a", "b", "at", "bt"])
 
     return run
 
 
-def _shut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (node, tokens) with each set's tokens compressed, for a set is sent once for each of its pairs."""
-    for b in batches:
-        shut = [zlib.compress(pickle.dumps(x.as_py()), 1) for x in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shut, pa.binary())], names=["node", "tokens"])
-
-
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (a, b, at, bt) with the tokens at and bt as lists again."""
-    for whole in batches:
-        for i in range(0, len(whole), PACKED // 4):
-            b = whole.slice(i, PACKED // 4)
-            tokens = [pa.array([pickle.loads(zlib.decompress(x.as_py())) for x in c]) for c in b.columns[2:]]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], *tokens], names=["a", "b", "at", "bt"])
-
-
 def candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b, each once: all pairs of the stored sets (node, tokens), nodes different, with a Jaccard similarity of at
-    least threshold > 0, and few others."""
+    """(a, b, at, bt), each two once: all pairs of the stored sets (node, tokens), nodes different, with a Jaccard similarity of at
+    least threshold > 0, and few others, with their tokens."""
     spark = sets.sparkSession
-    places = min(PLACES, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    hashed = sets.select("node", F.transform(F.array_distinct("tokens"), lambda x: F.xxhash64(x)).alias("hashes"))
-    seen = hashed.where(F.pmod("node", F.lit(SAMPLE)) == 0).select(F.explode("hashes").alias("token")).groupBy("token").count()
-    often = seen.where("count > 1").orderBy(F.desc("count"), "token").limit(MOST).toArrow()
+    blocks = max(4, math.ceil(math.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    hashed = sets.select("node", F.transform(F.array_distinct("tokens"), lambda x: F.xxhash64(x)).alias("hashes"), "tokens")
+    sample = hashed.where(F.pmod("node", F.lit(SAMPLE)) == 0)
+    often = sample.select(F.explode("hashes").alias("token")).groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(MOST).toArrow()
     token, count = (often.column(c).to_numpy() for c in ("token", "count"))
     by_token = np.argsort(token)
-    packed = hashed.mapInArrow(_packed(token[by_token], count[by_token], np.sort(token[:HOT]), threshold, places), "place int, sets binary")
-    return packed.repartitionById(places, F.col("place")).select("sets").mapInArrow(_met(threshold), "a long, b long").distinct()
+    key = F.size("tokens") + F.pmod("node", F.lit(PARTS)) / PARTS
+    cuts = np.unique(sets.select(key.alias("key")).approxQuantile("key", [i / blocks for i in range(1, blocks)], 0.01))
+    packed = hashed.mapInArrow(_packed(token[by_token], count[by_token], np.sort(token[:HOT]), threshold, cuts), "block int, rows binary")
+    kind = sets.schema["tokens"].dataType
+    return met(packed, blocks).mapInArrow(_met(threshold, to_arrow_type(kind)), f"a long, b long, at {kind.simpleString()}, bt {kind.simpleString()}")
 
 
-def weights(rows: DataFrame, least_jaccard: float, alike: Callable[[Column, Column], Column], threshold: float, symmetric: bool = False) -> DataFrame:
+def weights(rows: DataFrame, least_jaccard: float, alike: Callable[[Column, Column], Column], threshold: float, symmetric: bool = False, least: int = 1) -> DataFrame:
     """(u1, u2, m1), repeats included: each message of rows (message_id, user_id, tokens) and the users of whom another message has
     alike(tokens of the first, tokens of the other) >= threshold. Sets that are alike must have a Jaccard similarity of
-    least_jaccard > 0 or more. A null message id matches nothing; sets without tokens are not alike."""
-    rows = rows.where((F.size("tokens") > 0) & F.col("message_id").isNotNull())
-    stored = written(rows.select("message_id", "user_id", F.xxhash64("tokens").alias("node"), "tokens"), "alike-rows")
-    members = written(stored.select("message_id", "user_id", "node"), "alike-members")
-    sets = written(stored.select("node", "tokens").dropDuplicates(["node"]), "alike-sets")
-    forget(stored)
-    met = written(candidates(sets, least_jaccard), "alike-met")
-    repeated = members.groupBy("node").count().where("count > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
-    pairs = written(met.union(repeated), "alike-pairs")
-    asked = written(pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct(), "alike-asked")
-    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    whole = sets.join(F.broadcast(asked) if few else asked.hint("merge"), F.col("node") == F.col("asked"), "left_semi")
-    kind = sets.schema["tokens"].dataType.simpleString()
-    whole = whole.select("node", "tokens").mapInArrow(_shut, "node long, tokens binary")
-    side = lambda k: whole.select(F.col("node").alias(k), F.col("tokens").alias(f"{k}t"))
-    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "at", "bt")
-    both = both.mapInArrow(_open, f"a long, b long, at {kind}, bt {kind}")
+    least_jaccard > 0 or more. A null message id matches nothing; sets of fewer than least >= 1 tokens are not alike."""
+    # sizes are compared once the tokens are stored: a condition on them would have Spark make them twice
+    made = rows.where(F.col("message_id").isNotNull()).select("message_id", "user_id", F.xxhash64("tokens").alias("node"), F.size("tokens").alias("n"), "tokens")
+    stored = written(made.withColumn("row", F.monotonically_increasing_id()), "alike-rows")
+    large = stored.where(F.col("n") >= max(1, least))
+    members = written(large.select("message_id", "user_id", "node", "row"), "alike-members")
+    first = members.groupBy("node").agg(F.min("row").alias("first"), F.count("*").alias("k")).where("k > 1")
+    again = written(members.join(first, "node").where("row <> first").select(F.col("row").alias("again"), F.col("node").alias("repeated")), "alike-again")
+    few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sent = lambda x: F.broadcast(x) if few else x.hint("merge")
+    sets = large.join(sent(again.select("again")), F.col("row") == F.col("again"), "left_anti").select("node", "tokens")
+    one = sets.join(sent(again.select("repeated").distinct()), F.col("node") == F.col("repeated"), "left_semi")
+    both = candidates(sets, least_jaccard).union(one.select("node", "node", "tokens", "tokens"))
     there, back = (alike(F.col(x), F.col(y)) >= threshold for x, y in (("at", "bt"), ("bt", "at")))
     # not filtered before it is stored: Spark would compare twice
     links = written(both.select("a", "b", there.alias("there"), *([] if symmetric else [back.alias("back")])), "alike-links")
-    forget(sets, met, pairs, asked)
+    forget(stored, again)
     ways = links.where("there").select("a", "b").union(links.where(("there" if symmetric else "back") + " and a <> b").select("b", "a"))
     users = members.groupBy("node", "user_id").agg(F.min("message_id").alias("least"), F.max("message_id").alias("most"))
     near = ways.join(users, F.col("b") == F.col("node")).groupBy("a", "user_id").agg(F.min("least").alias("least"), F.max("most").alias("most"))

@@ -60,8 +60,8 @@ def similarity_network(
     """
     bound = threshold if similarity is None else getattr(similarity, "least_jaccard", lambda t: 0)(threshold)
     if bound > 0 and _spans(rows, window):
-        sized = rows.where(F.col("timestamp").isNotNull() & (F.size("tokens") >= (max(1, min_size) if similarity is None else 1)))
-        return weighted(weights(sized, bound, similarity or jaccard, threshold, similarity is None), min_edge_weight)
+        timed = rows.where(F.col("timestamp").isNotNull())
+        return weighted(weights(timed, bound, similarity or jaccard, threshold, similarity is None, min_size if similarity is None else 1), min_edge_weight)
     if similarity is None and threshold > 0:
         sized = rows.where(F.size("tokens") >= max(1, min_size))
         return weighted(similar_pairs(sized, window, threshold), min_edge_weight)

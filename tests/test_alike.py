@@ -5,7 +5,10 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from test_counting import shuffled
+
 from tandem.functions import text
+from tandem.operators.alike import candidates
 from tandem.operators.similar import similarity_network
 
 
@@ -44,3 +47,17 @@ def test_whole_table_without_all_pairs(spark):
             got = similarity_network(df, 1000, threshold, min_size=least, similarity=f)
             assert {(r[0], r[1]): r[2] for r in got.collect()} == {k: len(x) for k, x in want.items()}
     assert 0 < tried.value < len(rows) ** 2
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Near copies without end: every two are alike, in blocks of one size and of several, and no pair goes through a shuffle."""
+    common = [f"w{i}" for i in range(60)]
+    sets = [(i, sorted([*common[: 52 + i % 7], f"x{i}"])) for i in range(300)] + [(1000 + i, [f"y{i}"]) for i in range(40)]
+    df = spark.createDataFrame(sets, "node long, tokens array<string>").coalesce(1)
+    want = {frozenset((a, b)) for a, s in sets for b, t in sets if a < b and len({*s} & {*t}) >= 0.8 * len({*s} | {*t})}
+    found = candidates(df, 0.8)
+    got = found.collect()
+    assert len(want) == 300 * 299 // 2 and len(got) == len({frozenset((r["a"], r["b"])) for r in got})
+    assert want <= {frozenset((r["a"], r["b"])) for r in got} and shuffled(found) < 40
+    tokens = dict(sets)
+    assert all(r["at"] == tokens[r["a"]] and r["bt"] == tokens[r["b"]] for r in got)
