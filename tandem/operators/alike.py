@@ -86,10 +86,11 @@ def _packed(frequent: np.ndarray, ranks: np.ndarray, hot: np.ndarray, threshold:
             sets = np.flatnonzero(own)
             mine, w, text = own[owner], at_wide[sets[large[sets]]], [shut[i] for i in sets]
             k, length = np.bincount(owner[mine], minlength=len(n))[sets], np.array([len(x) for x in text], np.int64)
-            parts = (np.array([len(sets), len(w), mine.sum(), length.sum()]), node[sets], n[sets].astype(np.int32), spare[sets], k.astype(np.int32), maps[sets], wide_spare[w], wide[w], flat[mine], length)
-            data = b"".join([*(x.tobytes() for x in parts), *text])
-            head = np.array([p, n[sets].min(), n[sets].max(), len(data)], np.int64)
-            blobs.append(head.tobytes() + pa.compress(data, "lz4_raw", asbytes=True))
+            parts = (np.array([len(sets), len(w), mine.sum()]), node[sets], n[sets].astype(np.int32), spare[sets], k.astype(np.int32), maps[sets], wide_spare[w], wide[w], flat[mine], length)
+            data = b"".join(x.tobytes() for x in parts)
+            data, whole = pa.compress(data, "lz4_raw", asbytes=True), len(data)
+            head = np.array([p, n[sets].min(), n[sets].max(), whole, len(data)], np.int64)
+            blobs.append(b"".join([head.tobytes(), data, *text]))
         return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(blobs, pa.binary())], names=["block", "rows"])
 
     return run
@@ -102,10 +103,11 @@ def _heads(blobs: list[bytes]) -> tuple[int, int, int]:
 
 
 def _unpacked(blob: bytes) -> list[np.ndarray]:
-    data, at = pa.decompress(blob[32:], int(np.frombuffer(blob, np.int64, 4)[3]), "lz4_raw", asbytes=True), 32
-    sets, large, tokens, text = np.frombuffer(data, np.int64, 4).tolist()
+    whole, shut = np.frombuffer(blob, np.int64, 2, 24).tolist()
+    data, at = pa.decompress(pa.py_buffer(blob)[40 : 40 + shut], whole, "lz4_raw", asbytes=True), 24
+    sets, large, tokens = np.frombuffer(data, np.int64, 3).tolist()
     out = []
-    for kind, k in ((np.int64, sets), (np.int32, sets), (np.int32, sets), (np.int32, sets), (np.uint64, sets * _WORDS), (np.int32, large), (np.uint64, large * (WIDE // 64)), (np.int64, tokens), (np.int64, sets), (np.uint8, text)):
+    for kind, k in ((np.int64, sets), (np.int32, sets), (np.int32, sets), (np.int32, sets), (np.uint64, sets * _WORDS), (np.int32, large), (np.uint64, large * (WIDE // 64)), (np.int64, tokens), (np.int64, sets)):
         out.append(np.frombuffer(data, kind, k, at))
         at += out[-1].nbytes
     return out
@@ -116,20 +118,22 @@ class _Block:
 
     def __init__(self, blobs: list[bytes]):
         parts = [_unpacked(x) for x in blobs]
-        blobs.clear()
-        self.node, self.n, self.spare, k, self.maps, self.wide_spare, self.wide, token, length, self.text = (np.concatenate(x) for x in zip(*parts))
+        # where each set's tokens stand in the blobs, which are kept as they came
+        self.blobs, self.within = blobs, np.repeat(np.arange(len(parts), dtype=np.int32), [len(x[0]) for x in parts])
+        self.ends = np.concatenate([len(blob) - x[-1].sum() + np.cumsum(x[-1]) for blob, x in zip(blobs, parts)])
+        self.node, self.n, self.spare, k, self.maps, self.wide_spare, self.wide, token, self.length = (np.concatenate(x) for x in zip(*parts))
         del parts
         self.maps, self.wide, self.at_wide = self.maps.reshape(-1, _WORDS), self.wide.reshape(-1, WIDE // 64), np.cumsum(self.n > LARGE) - 1
-        self.ends = np.concatenate([[0], np.cumsum(length)])
         of = np.repeat(np.arange(len(self.node), dtype=np.int32), k)
         pos = np.arange(len(of)) - np.repeat(np.cumsum(k, dtype=np.int64) - k, k)
         order = np.lexsort((self.n[of], token))
         self.token, self.of = token[order], of[order]
-        self.size = self.n[self.of].astype(np.int64)
-        self.left = self.size - pos[order]
+        self.size = self.n[self.of]
+        self.left = self.size - pos[order].astype(np.int32)
 
     def tokens(self, i: int) -> list:
-        return pickle.loads(zlib.decompress(self.text[self.ends[i] : self.ends[i + 1]]))
+        blob = memoryview(self.blobs[self.within[i]])
+        return pickle.loads(zlib.decompress(blob[self.ends[i] - self.length[i] : self.ends[i]]))
 
 
 def _pairs(one: _Block, two: _Block, threshold: float) -> np.ndarray:
@@ -186,9 +190,11 @@ def _met(threshold: float, kind: pa.DataType):
         (i, _, most), (j, least, _) = (_heads(x) for x in held)
         if i > j or most < threshold * least - _LESS:
             return
+        del batches, b
+        if i == j:
+            held[0].clear()
         two = _Block(held[1])
         one = two if i == j else _Block(held[0])
-        held[0].clear()
         found = _pairs(one, two, threshold)
         for s in range(0, len(found), PASSED):
             x, y = np.divmod(found[s : s + PASSED], len(two.node))
@@ -202,7 +208,7 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, at, bt), each two once: all pairs of the stored sets (node, tokens), nodes different, with a Jaccard similarity of at
     least threshold > 0, and few others, with their tokens."""
     spark = sets.sparkSession
-    blocks = max(4, math.ceil(math.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    blocks = max(4, math.ceil(1.5 * math.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
     hashed = sets.select("node", F.transform(F.array_distinct("tokens"), lambda x: F.xxhash64(x)).alias("hashes"), "tokens")
     sample = hashed.where(F.pmod("node", F.lit(SAMPLE)) == 0)
     often = sample.select(F.explode("hashes").alias("token")).groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(MOST).toArrow()
