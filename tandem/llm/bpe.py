@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, need, prepare
+from .common import each_text, need, prepare, trimmed
 
 #: Bytes of text that are cut together, words in a row of a list, and words after which a task forgets those it listed.
 BLOCK, CHUNK, WORDS = 4 << 20, 1024, 500_000
@@ -370,7 +370,7 @@ def _placed(docs: DataFrame, path: str, pattern: str, most_bytes: int | None = N
     spark = prepare(docs.sparkSession)
     spark.conf.set("spark.sql.maxPlanStringLength", "20000")  # the rank map is in the plan, and the driver keeps plans' texts
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return named.mapInArrow(_cut(path, pattern, most_bytes, most_words), _PLACED_SQL).select("doc_id", "text_hash", "first", merged(F.col("words"), path).alias("words"), "known", "of")
+    return named.mapInArrow(trimmed(_cut(path, pattern, most_bytes, most_words)), _PLACED_SQL).select("doc_id", "text_hash", "first", merged(F.col("words"), path).alias("words"), "known", "of")
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -387,7 +387,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             found = [_runs(self.values, self.starts[x], self.lengths[x]) for x in places]
             return [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found), pa.int32()))]
 
-    return _placed(docs, path, pattern).mapInArrow(_put_together(schema, Ids), "doc_id long, text_hash long, ids array<int>")
+    return _placed(docs, path, pattern).mapInArrow(trimmed(_put_together(schema, Ids)), "doc_id long, text_hash long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -437,4 +437,4 @@ def digests(docs: DataFrame, path: str, pattern: str, most_bytes: int | None = N
                 b.append(sha(b"".join(map(self.decoded.__getitem__, of))))
             return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
 
-    return _placed(docs, path, pattern, most_bytes, most_words).mapInArrow(_put_together(schema, Spelt), "doc_id long, text_hash long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _placed(docs, path, pattern, most_bytes, most_words).mapInArrow(trimmed(_put_together(schema, Spelt)), "doc_id long, text_hash long, n_tokens long, ids_sha256 string, decoded_sha256 string")

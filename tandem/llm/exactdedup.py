@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, each_text, need, one_row_each, partitions, prepare, rows, without_rows, written
+from .common import BROADCAST_ROWS, each_text, need, one_row_each, partitions, prepare, rows, trimmed, without_rows, written
 
 #: Distinct fingerprints that a task holds before it passes its filters on.
 HELD = 4_000_000
@@ -149,8 +149,8 @@ def repeated_fingerprints(fps: DataFrame) -> DataFrame:
     """(fp, n) of the fingerprints (column fp, a 64-bit long) that occur more than once."""
     n = partitions(fps.sparkSession)
     bits = min(20, (n - 1).bit_length())
-    filters = fps.select("fp").mapInArrow(_filters(bits), "slice int, filter binary")
-    return filters.repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(_merge(bits), "fp long, n long")
+    filters = fps.select("fp").mapInArrow(trimmed(_filters(bits)), "slice int, filter binary")
+    return filters.repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(trimmed(_merge(bits)), "fp long, n long")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    read = written(named.mapInArrow(_read_texts, "doc_id long, text_hash long, fp long, text_sha256 string"), "texts")
+    read = written(named.mapInArrow(trimmed(_read_texts), "doc_id long, text_hash long, fp long, text_sha256 string"), "texts")
     again = written(repeated_fingerprints(read), "repeated")
     spellings = written(read.join(again, "fp", "left_semi").select(F.col("text_hash").alias("h")).distinct(), "spellings")
     small = spellings.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

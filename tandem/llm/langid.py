@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, prepare, rows, utf8, without_rows, written
+from .common import need, prepare, rows, trimmed, utf8, without_rows, written
 
 BUCKETS, ORDERS, MOST_LANGS = 1 << 16, (2, 3), 1000
 #: Characters of texts that are hashed at once.
@@ -134,7 +134,7 @@ def fit(labelled: DataFrame, rows_per_lang: int = 4000, tasks: int = 8) -> Naive
     dice = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.where(dice < shares[F.col("lang")]).select("lang", F.col("text").cast("string").alias("text")).repartition(tasks)
     counts, n_rows = np.zeros((len(langs), BUCKETS)), np.full(len(langs), 1e-9)
-    for r in sample.mapInArrow(_count(langs), "lang int, n long, counts binary").toLocalIterator():
+    for r in sample.mapInArrow(trimmed(_count(langs)), "lang int, n long, counts binary").toLocalIterator():
         counts[r["lang"]] += np.frombuffer(r["counts"], "<i8")
         n_rows[r["lang"]] += r["n"]
     return NaiveBayes.fit(langs, counts, np.array([float(n) for n in sizes.values()]))
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: NaiveBayes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([names[k] for k in best], pa.string()), pa.array(p, pa.float64())], schema=_PREDICTED)
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return named.mapInArrow(run, "doc_id long, text_hash long, lang_pred string, score double")
+    return named.mapInArrow(trimmed(run), "doc_id long, text_hash long, lang_pred string, score double")
 
 
 def held_out(doc_id) -> object:
