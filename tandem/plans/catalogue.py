@@ -383,10 +383,11 @@ def graphml_export(spark, sf_dir):
         p = posts(spark, sf_dir)
         outputs.write_graphml(networks.co_retweet(p, DAY, 2), "co_retweet", p, path)
         found = dict.fromkeys(("node", "edge", "key"), 0)
-        with Path(path).open(encoding="utf-8") as f:
-            for line in f:  # a line holds whole tags
+        with Path(path).open("rb") as f:
+            while lines := f.read(1 << 24):
+                lines += f.readline()  # a line holds whole tags
                 for k in found:
-                    found[k] += line.count(f"<{k} ")
+                    found[k] += lines.count(f"<{k} ".encode())
     return spark.createDataFrame(list(found.items()), "element string, n long")
 
 

@@ -32,7 +32,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name, None)
     spark.conf.set(name, value)
     try:
@@ -48,7 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df from a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    with _setting(spark, _CLEANUP, "true"):
+    with setting(spark, _CLEANUP, "true"):
         df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._tandem_path = path
