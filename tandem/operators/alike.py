@@ -1,11 +1,12 @@
 """Weights of account pairs by alike texts of a whole table, where no window divides it.
 
-Equal token sets are one set. Sets are dealt out into B blocks by size, packed: of each its size, a bitmap, the hashes of its rarest
-tokens (prefix filter) and its tokens, compressed. The cell (i, j), i <= j, reads two blocks and finds the pairs between them in
-memory: by sizes, by where the shared token stands, and by the bitmaps, which bound what two sets can share. What is left is
-compared as whole sets of tokens at once, each pair in one cell. So a set is written to the shuffle once and no pair is, however many
-there are. Nothing is capped: samples only say which tokens come last and have bits of their own, and where blocks end, and any
-choice leaves the result right. Sets are told apart by 64-bit hashes.
+Equal token sets are one set. Sets are dealt out into B blocks by size, packed: of each its size, 32-bit hashes of its rarest tokens and
+its tokens, compressed. The cell (i, j), i <= j, reads two blocks and finds the pairs between them in memory, a layer of like sizes
+with another at a time. Two sets that must share a tokens share l of them within all but the last a - l of each, in any one order of
+tokens; with the rarest first, few others do. So a cell counts what every two sets of two layers share there, for l some hundredths of
+the size, and what is left is compared as whole sets of tokens at once, each pair in one cell. So a set is written to the shuffle once
+and no pair is, however many there are. Nothing is capped: samples only say which tokens come last, and any choice leaves the result
+right, as do equal hashes, which only add to a count. Sets are told apart by 64-bit hashes.
 
 Weights need no pairs of messages: of each set and user the least and the greatest message id say whether another message is there.
 """
@@ -26,23 +27,22 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..sources.shared import forget, written
 from .counting import met
 
-#: One set in SAMPLE is looked at for frequent tokens, of which MOST are used and HOT have bits of their own; the rest share BITS.
-SAMPLE, MOST, HOT, BITS = 8, 200_000, 256, 1024
-#: Sets of more tokens than LARGE have a second bitmap, in which the tokens that aren't hot share WIDE bits.
-LARGE, WIDE = 400, 4096
+#: One set in SAMPLE is looked at for frequent tokens, of which MOST are used.
+SAMPLE, MOST = 8, 200_000
+#: Two sets must share 1 + SHARED of the smaller one's size in their rarest tokens; the sizes of a layer are at most LAYER of the least.
+SHARED, LAYER = 0.12, 1.2
 #: Row or set ids up to which they are broadcast (8 bytes each).
 BROADCAST_ROWS = 2_000_000
-#: Sets packed together, pairs whose bitmaps are compared together, and pairs passed on together.
-PACKED, PAIRS, PASSED = 4096, 1 << 15, 256
+#: Sets packed together, counts and shared tokens that are in memory at once, pairs passed on together, a square of so many sets each way.
+PACKED, SLOTS, PAIRS, PASSED = 4096, 1 << 20, 1 << 20, 16
 #: Sets of one size are dealt out by so many of their ids' remainders.
 PARTS = 1 << 20
 _LESS = 1e-9  #: so that rounding only widens what is compared
-_WORDS = (HOT + BITS) // 64
 
 
-def _packed(frequent: np.ndarray, ranks: np.ndarray, hot: np.ndarray, threshold: float, cuts: np.ndarray):
-    """Batches of (node, hashes, tokens) to blobs by block: of each set there node, size, spare, number of prefix tokens and bitmap, spare and
-    second bitmap of the large ones, the prefix in the set's order, and the tokens. spare: tokens that share a bit with another of the set."""
+def _packed(frequent: np.ndarray, ranks: np.ndarray, threshold: float, cuts: np.ndarray):
+    """Batches of (node, hashes, tokens) to blobs by block: of each set there node, size and number of rarest tokens, those in one order
+    of all sets, rarest first, and the tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -53,30 +53,15 @@ def _packed(frequent: np.ndarray, ranks: np.ndarray, hot: np.ndarray, threshold:
     def dealt(node: np.ndarray, lists: pa.ListArray, tokens: pa.ListArray) -> pa.RecordBatch:
         flat, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
         owner = np.repeat(np.arange(len(n)), n)
-        cold = np.ones(len(flat), bool)
-        bit = HOT + (flat.view(np.uint64) % np.uint64(BITS)).astype(np.int64)
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, flat), len(hot) - 1)
-            cold = hot[at] != flat
-            bit = np.where(cold, bit, at)
         rank = np.zeros(len(flat), np.int64)
         if len(frequent):
             at = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
             rank = np.where(frequent[at] == flat, ranks[at], 0)
-        bits = np.zeros((len(n), HOT + BITS), bool)
-        bits[owner, bit] = True
-        spare = (n - bits.sum(axis=1)).astype(np.int32)
-        maps = np.packbits(bits, axis=1)
-        large = n > LARGE
-        cold &= large[owner]
-        bits = np.zeros((int(large.sum()), WIDE), bool)
-        bits[(np.cumsum(large) - 1)[owner[cold]], (flat[cold].view(np.uint64) >> np.uint64(16)).astype(np.int64) % WIDE] = True
-        wide_spare = (np.bincount(owner[cold], minlength=len(n))[large] - bits.sum(axis=1)).astype(np.int32)
-        wide, at_wide = np.packbits(bits, axis=1), np.cumsum(large) - 1
         order = np.lexsort((flat, rank, owner))
         flat, pos = flat[order], np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-        first = pos < (n - np.ceil(n * threshold - _LESS).astype(np.int64) + 1)[owner]
-        flat, owner = flat[first], owner[first]
+        # one token more than the greatest number that _pairs looks at, for rounding
+        first = pos < (n - np.ceil(n * threshold - _LESS).astype(np.int64) + _shared(n) + 1)[owner]
+        flat, owner = flat[first].astype(np.uint32), owner[first]
         words, at = tokens.flatten().to_numpy(zero_copy_only=False), tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
         shut = [zlib.compress(pickle.dumps(words[i:j].tolist()), 1) for i, j in zip(at, at[1:])]
         block = np.searchsorted(cuts, n + node % PARTS / PARTS, "right")
@@ -84,9 +69,9 @@ def _packed(frequent: np.ndarray, ranks: np.ndarray, hot: np.ndarray, threshold:
         for p in found:
             own = block == p
             sets = np.flatnonzero(own)
-            mine, w, text = own[owner], at_wide[sets[large[sets]]], [shut[i] for i in sets]
+            mine, text = own[owner], [shut[i] for i in sets]
             k, length = np.bincount(owner[mine], minlength=len(n))[sets], np.array([len(x) for x in text], np.int64)
-            parts = (np.array([len(sets), len(w), mine.sum()]), node[sets], n[sets].astype(np.int32), spare[sets], k.astype(np.int32), maps[sets], wide_spare[w], wide[w], flat[mine], length)
+            parts = (np.array([len(sets), mine.sum()]), node[sets], n[sets].astype(np.int32), k.astype(np.int32), flat[mine], length)
             data = b"".join(x.tobytes() for x in parts)
             data, whole = pa.compress(data, "lz4_raw", asbytes=True), len(data)
             head = np.array([p, n[sets].min(), n[sets].max(), whole, len(data)], np.int64)
@@ -96,6 +81,11 @@ def _packed(frequent: np.ndarray, ranks: np.ndarray, hot: np.ndarray, threshold:
     return run
 
 
+def _shared(n):
+    """How many tokens two sets, the smaller of n tokens, must share among their rarest."""
+    return 1 + np.floor(n * SHARED).astype(np.int64)
+
+
 def _heads(blobs: list[bytes]) -> tuple[int, int, int]:
     """The number of their block, its least and its greatest size."""
     heads = np.array([np.frombuffer(x, np.int64, 3) for x in blobs])
@@ -104,77 +94,96 @@ def _heads(blobs: list[bytes]) -> tuple[int, int, int]:
 
 def _unpacked(blob: bytes) -> list[np.ndarray]:
     whole, shut = np.frombuffer(blob, np.int64, 2, 24).tolist()
-    data, at = pa.decompress(pa.py_buffer(blob)[40 : 40 + shut], whole, "lz4_raw", asbytes=True), 24
-    sets, large, tokens = np.frombuffer(data, np.int64, 3).tolist()
+    data, at = pa.decompress(pa.py_buffer(blob)[40 : 40 + shut], whole, "lz4_raw", asbytes=True), 16
+    sets, tokens = np.frombuffer(data, np.int64, 2).tolist()
     out = []
-    for kind, k in ((np.int64, sets), (np.int32, sets), (np.int32, sets), (np.int32, sets), (np.uint64, sets * _WORDS), (np.int32, large), (np.uint64, large * (WIDE // 64)), (np.int64, tokens), (np.int64, sets)):
+    for kind, k in ((np.int64, sets), (np.int32, sets), (np.int32, sets), (np.uint32, tokens), (np.int64, sets)):
         out.append(np.frombuffer(data, kind, k, at))
         at += out[-1].nbytes
     return out
 
 
 class _Block:
-    """The sets of a block, and their prefix tokens by token and size."""
+    """The sets of a block by size, cut into layers (start, end, tokens, the set of each from start on, its place there), by token."""
 
     def __init__(self, blobs: list[bytes]):
         parts = [_unpacked(x) for x in blobs]
         # where each set's tokens stand in the blobs, which are kept as they came
-        self.blobs, self.within = blobs, np.repeat(np.arange(len(parts), dtype=np.int32), [len(x[0]) for x in parts])
-        self.ends = np.concatenate([len(blob) - x[-1].sum() + np.cumsum(x[-1]) for blob, x in zip(blobs, parts)])
-        self.node, self.n, self.spare, k, self.maps, self.wide_spare, self.wide, token, self.length = (np.concatenate(x) for x in zip(*parts))
+        within = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x[0]) for x in parts])
+        ends = np.concatenate([len(blob) - x[-1].sum() + np.cumsum(x[-1]) for blob, x in zip(blobs, parts)])
+        node, n, k, token, length = (np.concatenate(x) for x in zip(*parts))
         del parts
-        self.maps, self.wide, self.at_wide = self.maps.reshape(-1, _WORDS), self.wide.reshape(-1, WIDE // 64), np.cumsum(self.n > LARGE) - 1
-        of = np.repeat(np.arange(len(self.node), dtype=np.int32), k)
-        pos = np.arange(len(of)) - np.repeat(np.cumsum(k, dtype=np.int64) - k, k)
-        order = np.lexsort((self.n[of], token))
-        self.token, self.of = token[order], of[order]
-        self.size = self.n[self.of]
-        self.left = self.size - pos[order].astype(np.int32)
+        order = np.argsort(n, kind="stable")
+        self.blobs, self.within, self.ends, self.length = blobs, within[order], ends[order], length[order]
+        self.node, self.n, since, k = node[order], n[order].astype(np.int64), (np.cumsum(k, dtype=np.int64) - k)[order], k[order]
+        self.layers, s = [], 0
+        while s < len(order):
+            e = int(np.searchsorted(self.n, max(self.n[s], int(self.n[s] * LAYER)), "right"))
+            of = np.repeat(np.arange(e - s, dtype=np.int32), k[s:e])
+            pos = (np.arange(len(of)) - np.repeat(np.cumsum(k[s:e], dtype=np.int64) - k[s:e], k[s:e])).astype(np.int32)
+            # by token: sorting both in one number is faster than sorting places
+            both = np.sort(token[since[s:e][of] + pos].astype(np.uint64) << np.uint64(32) | np.arange(len(of), dtype=np.uint64))
+            at = (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            self.layers.append((s, e, (both >> np.uint64(32)).astype(np.uint32), of[at], pos[at]))
+            s = e
 
     def tokens(self, i: int) -> list:
         blob = memoryview(self.blobs[self.within[i]])
         return pickle.loads(zlib.decompress(blob[self.ends[i] - self.length[i] : self.ends[i]]))
 
 
-def _pairs(one: _Block, two: _Block, threshold: float) -> np.ndarray:
-    """i * len(two.node) + j of the sets i of one and j of two, none smaller than those of one, that may be alike; within a block each two once."""
-    found, held = np.zeros(0, np.int64), []
-    kinds, code = np.unique(two.token, return_inverse=True)
-    if not len(kinds):
-        return found
-    most_n = int(two.size.max()) + 2
-    key = code * most_n + two.size
-    at = np.minimum(np.searchsorted(kinds, one.token), len(kinds) - 1)
-    since = np.arange(len(one.token)) + 1 if one is two else np.searchsorted(key, at * most_n, "left")
-    until = np.searchsorted(key, at * most_n + np.minimum(np.floor(one.size / threshold + _LESS).astype(np.int64), most_n - 1), "right")
-    until = np.where(kinds[at] == one.token, np.maximum(since, until), since)
-    total = np.concatenate([[0], np.cumsum(until - since)])
-    s = 0
-    while s < len(since):
-        e = max(s + 1, int(np.searchsorted(total, total[s] + PAIRS, "right")) - 1)
-        i = np.repeat(np.arange(s, e), until[s:e] - since[s:e])
-        j = np.arange(len(i)) - np.repeat(total[s:e] - total[s], until[s:e] - since[s:e]) + since[i]
-        s = e
-        most, both = np.minimum(one.left[i], two.left[j]), one.size[i] + two.size[j]
-        may = most >= threshold * (both - most) - _LESS
-        x, y, both = one.of[i[may]], two.of[j[may]], both[may]
-        most = np.bitwise_count(one.maps[x] & two.maps[y]).sum(axis=1, dtype=np.int64) + np.minimum(one.spare[x], two.spare[y])
-        may = most >= threshold * (both - most) - _LESS
-        x, y, both = x[may].astype(np.int64), y[may].astype(np.int64), both[may]
-        large = np.flatnonzero((one.n[x] > LARGE) & (two.n[y] > LARGE))
-        if len(large):
-            v, w = one.at_wide[x[large]], two.at_wide[y[large]]
-            most = np.bitwise_count(one.maps[x[large], : HOT // 64] & two.maps[y[large], : HOT // 64]).sum(axis=1, dtype=np.int64)
-            most += np.bitwise_count(one.wide[v] & two.wide[w]).sum(axis=1, dtype=np.int64) + np.minimum(one.wide_spare[v], two.wide_spare[w])
-            stay = np.ones(len(x), bool)
-            stay[large] = most >= threshold * (both[large] - most) - _LESS
-            x, y = x[stay], y[stay]
-        if one is two:
-            x, y = np.minimum(x, y), np.maximum(x, y)
-        held.append(x * len(two.node) + y)
-        if sum(map(len, held)) > 1 << 20 or len(held) > 4096:
-            found, held = np.unique(np.concatenate([found, *held])), []
-    return np.unique(np.concatenate([found, *held]))
+def _pairs(one: _Block, two: _Block, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sets i of one and j of two, none smaller than those of one, that may be alike; within a block each two once."""
+    for a, left in enumerate(one.layers):
+        for right in two.layers[a if one is two else 0 :]:
+            if one.n[left[1] - 1] >= threshold * two.n[right[0]] - _LESS:
+                yield from _between(one.n, two.n, left, right, threshold, left is right)
+
+
+def _between(one_n: np.ndarray, two_n: np.ndarray, left: tuple, right: tuple, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """_pairs of two layers."""
+    (s, e, token, of, pos), (s2, e2, token2, of2, pos2) = left, right
+    n, n2, share = one_n[s:e], two_n[s2:e2], threshold / (1 + threshold)
+    must = lambda x, y: np.ceil(share * (x + y) - _LESS).astype(np.int64)
+    least = int(min(must(n[0], n2[0]), _shared(n[0])))
+    # the other set is no smaller than the one of the left, and no smaller than the threshold allows to the one of the right
+    rest = must(n, np.maximum(n, n2[0])) - least
+    rest2 = must(n2, np.maximum(np.ceil(threshold * n2 - _LESS).astype(np.int64), n[0])) - least
+    used, used2 = pos < (n - rest)[of], pos2 < (n2 - rest2)[of2]
+    token, of, token2, of2 = token[used], of[used], token2[used2], of2[used2]
+    if not (len(token) and len(token2)):
+        return
+    starts = np.flatnonzero(np.concatenate([[True], token2[1:] != token2[:-1], [True]]))
+    kinds = token2[starts[:-1]]
+    at = np.minimum(np.searchsorted(kinds, token), len(kinds) - 1)
+    there = np.flatnonzero(kinds[at] == token)
+    by_set = (np.sort(of[there].astype(np.uint64) << np.uint64(32) | there.astype(np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    of, at = of[by_set].astype(np.int64), at[by_set]
+    since, many = starts[at], starts[at + 1] - starts[at]
+    total = np.concatenate([[0], np.cumsum(many)])
+    width = e2 - s2
+    step = max(1, SLOTS // width)
+    ends = np.searchsorted(of, np.arange(0, e - s + step, step))
+    for base, i, end in zip(range(0, e - s, step), ends, ends[1:]):
+        count = None
+        while i < end:
+            j = min(end, max(i + 1, int(np.searchsorted(total, total[i] + PAIRS, "right")) - 1))
+            slot = np.repeat(since[i:j] - (total[i:j] - total[i]), many[i:j])
+            slot += np.arange(len(slot))
+            slot = of2[slot] + np.repeat((of[i:j] - base) * width, many[i:j])
+            more = np.bincount(slot, minlength=0 if i == ends[base // step] and j == end else step * width)
+            count = more if count is None else count + more
+            i = j
+        if count is None:
+            continue
+        found = np.flatnonzero(count >= least)
+        x, y = np.divmod(found, width)
+        x += base
+        may = count[found] + np.maximum(rest[x], rest2[y]) >= share * (n[x] + n2[y]) - _LESS
+        if same:
+            may &= x < y
+        if may.any():
+            yield x[may] + s, y[may] + s2
 
 
 def _met(threshold: float, kind: pa.DataType):
@@ -195,15 +204,29 @@ def _met(threshold: float, kind: pa.DataType):
             held[0].clear()
         two = _Block(held[1])
         one = two if i == j else _Block(held[0])
-        found = _pairs(one, two, threshold)
-        for s in range(0, len(found), PASSED):
-            x, y = np.divmod(found[s : s + PASSED], len(two.node))
-            tokens = [pa.array([block.tokens(i) for i in z], kind) for block, z in ((one, x), (two, y))]
-            yield pa.RecordBatch.from_arrays([pa.array(one.node[x]), pa.array(two.node[y]), *tokens], names=["a", "b", "at", "bt"])
+        for x, y in _pairs(one, two, threshold):
+            # by squares, so that a large group's sets are unpacked once for each square and not once for each pair
+            order = np.lexsort((y // PASSED, x // PASSED))
+            for s in range(0, len(order), PASSED * PASSED):
+                z = [i[order[s : s + PASSED * PASSED]] for i in (x, y)]
+                tokens = []
+                for block, i in ((one, z[0]), (two, z[1])):
+                    sets, at = np.unique(i, return_inverse=True)
+                    tokens.append(pa.array([block.tokens(j) for j in sets], kind).take(pa.array(at)))
+                yield pa.RecordBatch.from_arrays([pa.array(one.node[z[0]]), pa.array(two.node[z[1]]), *tokens], names=["a", "b", "at", "bt"])
 
     return run
 
 
+def _cuts(n: np.ndarray, count: np.ndarray, blocks: int) -> np.ndarray:
+    """Where blocks end, as sizes and parts of the sets of one size, such that none has much over 2 / blocks of the sets or of their tokens."""
+    each = 1 + n * (count.sum() / max(1, (n * count).sum()))
+    until = np.cumsum(each * count)
+    aim = np.arange(1, blocks) / blocks * (until[-1] if len(n) else 0)
+    at = np.searchsorted(until, aim)[: blocks - 1 if len(n) else 0]
+    return np.unique(n[at] + 1 - (until[at] - aim[: len(at)]) / (each * count)[at])
+
+
 def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, at, bt), each two once: all pairs of the stored sets (node, tokens), nodes different, with a Jaccard similarity of at
     least threshold > 0, and few others, with their tokens."""
@@ -214,9 +237,9 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     often = sample.select(F.explode("hashes").alias("token")).groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(MOST).toArrow()
     token, count = (often.column(c).to_numpy() for c in ("token", "count"))
     by_token = np.argsort(token)
-    key = F.size("tokens") + F.pmod("node", F.lit(PARTS)) / PARTS
-    cuts = np.unique(sets.select(key.alias("key")).approxQuantile("key", [i / blocks for i in range(1, blocks)], 0.01))
-    packed = hashed.mapInArrow(_packed(token[by_token], count[by_token], np.sort(token[:HOT]), threshold, cuts), "block int, rows binary")
+    sizes = sets.groupBy(F.size("tokens").alias("n")).count().orderBy("n").toArrow()
+    cuts = _cuts(sizes.column("n").to_numpy(), sizes.column("count").to_numpy(), blocks)
+    packed = hashed.mapInArrow(_packed(token[by_token], count[by_token], threshold, cuts), "block int, rows binary")
     kind = sets.schema["tokens"].dataType
     return met(packed, blocks).mapInArrow(_met(threshold, to_arrow_type(kind)), f"a long, b long, at {kind.simpleString()}, bt {kind.simpleString()}")
 

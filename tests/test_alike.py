@@ -3,12 +3,13 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from test_counting import shuffled
 
 from tandem.functions import text
-from tandem.operators.alike import candidates
+from tandem.operators.alike import _cuts, candidates
 from tandem.operators.similar import similarity_network
 
 
@@ -61,3 +62,28 @@ def test_pairs_are_not_shuffled(spark):
     assert want <= {frozenset((r["a"], r["b"])) for r in got} and shuffled(found) < 40
     tokens = dict(sets)
     assert all(r["at"] == tokens[r["a"]] and r["bt"] == tokens[r["b"]] for r in got)
+
+
+def test_large_sets_that_share_little_are_ruled_out(spark):
+    """Sets of thousands of tokens, a tenth of which any two share: all pairs share one of their rarest tokens, and none is alike but two."""
+    dice = random.Random(5)
+    sets = [(i, sorted(f"w{x}" for x in dice.sample(range(60_000), 6000))) for i in range(40)]
+    sets.append((40, sorted([*sets[7][1][:5000], *(f"x{i}" for i in range(500))])))
+    sets += [(100 + i, sorted(f"w{x}" for x in dice.sample(range(300), 40))) for i in range(400)]
+    df = spark.createDataFrame(sets, "node long, tokens array<string>").repartition(4)
+    got = {frozenset((r["a"], r["b"])) for r in candidates(df, 0.5).select("a", "b").collect()}
+    whole = {i: set(s) for i, s in sets}
+    want = {frozenset((a, b)) for a in whole for b in whole if a < b and len(whole[a] & whole[b]) >= 0.5 * len(whole[a] | whole[b])}
+    assert frozenset((7, 40)) in want and want <= got
+    assert len([p for p in got if max(p) < 100]) < 10
+
+
+def test_blocks_hold_like_shares_of_sets_and_tokens():
+    n, count = np.array([1, 2, 50, 60, 7000]), np.array([5000, 10, 900, 1000, 30])
+    for blocks in (1, 4, 15):
+        cuts = _cuts(n, count, blocks)
+        key = np.repeat(n, count) + np.concatenate([np.arange(k) / k for k in count])
+        block = np.searchsorted(cuts, key, "right")
+        for weight in (np.ones(len(key)), np.repeat(n, count)):
+            assert np.bincount(block, weights=weight).max() <= 2.1 / blocks * weight.sum() + weight.max()
+    assert len(_cuts(n[:0], count[:0], 4)) == 0
