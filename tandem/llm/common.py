@@ -7,7 +7,6 @@ Spark's shuffle or through the folder that ``spark.checkpoint.dir`` names.
 from __future__ import annotations
 
 import atexit
-import ctypes
 import io
 import os
 import shutil
@@ -24,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import forget, new_path, shared_dir, written  # noqa: F401  the operators take them from here
+from ..sources.shared import forget, new_path, shared_dir, trimmed, written  # noqa: F401  the operators take them from here
 
 #: Rows up to which a key set is broadcast (16 bytes each, so 32 MB at most); larger sets are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -118,20 +117,6 @@ def blocks(batches: Iterable[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def trimmed(run: Callable) -> Callable:
-    """run, for mapInArrow, which gives the memory that it has freed back to the system once its batches end. Python workers
-    are kept for later tasks, all those that a task with several such steps had, and would each hold their largest task's."""
-
-    def trimming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
-        if trim is not None:
-            trim(0)
-
-    return trimming
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

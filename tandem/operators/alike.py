@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..sources.shared import forget, written
+from ..sources.shared import forget, setting, trimmed, written
 from .counting import met
 
 #: One set in SAMPLE is looked at for frequent tokens, of which MOST are used.
@@ -33,8 +33,12 @@ SAMPLE, MOST = 8, 200_000
 SHARED, LAYER = 0.12, 1.2
 #: Row or set ids up to which they are broadcast (8 bytes each).
 BROADCAST_ROWS = 2_000_000
-#: Sets packed together, counts and shared tokens that are in memory at once, pairs passed on together, a square of so many sets each way.
-PACKED, SLOTS, PAIRS, PASSED = 4096, 1 << 20, 1 << 20, 16
+#: Sets packed together; counts, shared tokens and hashes of a layer that are in memory at once.
+PACKED, SLOTS, PAIRS, HELD = 2048, 1 << 20, 1 << 20, 1 << 20
+#: Pairs are passed on by squares of so many sets each way, with so many tokens at most unless a pair has more.
+PASSED, TOKENS = 16, 1 << 17
+#: Bytes of blobs that Spark sends a cell at once.
+SENT = 8 << 20
 #: Sets of one size are dealt out by so many of their ids' remainders.
 PARTS = 1 << 20
 _LESS = 1e-9  #: so that rounding only widens what is compared
@@ -116,9 +120,10 @@ class _Block:
         order = np.argsort(n, kind="stable")
         self.blobs, self.within, self.ends, self.length = blobs, within[order], ends[order], length[order]
         self.node, self.n, since, k = node[order], n[order].astype(np.int64), (np.cumsum(k, dtype=np.int64) - k)[order], k[order]
-        self.layers, s = [], 0
+        self.layers, s, until = [], 0, np.cumsum(k, dtype=np.int64)
         while s < len(order):
             e = int(np.searchsorted(self.n, max(self.n[s], int(self.n[s] * LAYER)), "right"))
+            e = min(e, max(s + 1, int(np.searchsorted(until, until[s] + HELD))))
             of = np.repeat(np.arange(e - s, dtype=np.int32), k[s:e])
             pos = (np.arange(len(of)) - np.repeat(np.cumsum(k[s:e], dtype=np.int64) - k[s:e], k[s:e])).astype(np.int32)
             # by token: sorting both in one number is faster than sorting places
@@ -194,6 +199,8 @@ def _met(threshold: float, kind: pa.DataType):
         for b in batches:
             for side in (0, 1):
                 held[side].extend(x.as_py() for x in b.column(side).drop_null())
+            if held[0] and held[1] and _heads(held[0][:1])[0] > _heads(held[1][:1])[0]:
+                return
         if not (held[0] and held[1]):
             return
         (i, _, most), (j, least, _) = (_heads(x) for x in held)
@@ -207,8 +214,12 @@ def _met(threshold: float, kind: pa.DataType):
         for x, y in _pairs(one, two, threshold):
             # by squares, so that a large group's sets are unpacked once for each square and not once for each pair
             order = np.lexsort((y // PASSED, x // PASSED))
-            for s in range(0, len(order), PASSED * PASSED):
-                z = [i[order[s : s + PASSED * PASSED]] for i in (x, y)]
+            until, s = np.cumsum(one.n[x[order]] + two.n[y[order]]), 0
+            while s < len(order):
+                before = until[s - 1] if s else 0
+                e = min(s + PASSED * PASSED, max(s + 1, int(np.searchsorted(until, before + TOKENS, "right"))))
+                z = [i[order[s:e]] for i in (x, y)]
+                s = e
                 tokens = []
                 for block, i in ((one, z[0]), (two, z[1])):
                     sets, at = np.unique(i, return_inverse=True)
@@ -231,7 +242,7 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, at, bt), each two once: all pairs of the stored sets (node, tokens), nodes different, with a Jaccard similarity of at
     least threshold > 0, and few others, with their tokens."""
     spark = sets.sparkSession
-    blocks = max(4, math.ceil(1.5 * math.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    blocks = max(4, math.ceil(2 * math.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
     hashed = sets.select("node", F.transform(F.array_distinct("tokens"), lambda x: F.xxhash64(x)).alias("hashes"), "tokens")
     sample = hashed.where(F.pmod("node", F.lit(SAMPLE)) == 0)
     often = sample.select(F.explode("hashes").alias("token")).groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(MOST).toArrow()
@@ -239,9 +250,9 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     by_token = np.argsort(token)
     sizes = sets.groupBy(F.size("tokens").alias("n")).count().orderBy("n").toArrow()
     cuts = _cuts(sizes.column("n").to_numpy(), sizes.column("count").to_numpy(), blocks)
-    packed = hashed.mapInArrow(_packed(token[by_token], count[by_token], threshold, cuts), "block int, rows binary")
+    packed = hashed.mapInArrow(trimmed(_packed(token[by_token], count[by_token], threshold, cuts)), "block int, rows binary")
     kind = sets.schema["tokens"].dataType
-    return met(packed, blocks).mapInArrow(_met(threshold, to_arrow_type(kind)), f"a long, b long, at {kind.simpleString()}, bt {kind.simpleString()}")
+    return met(packed, blocks).mapInArrow(trimmed(_met(threshold, to_arrow_type(kind))), f"a long, b long, at {kind.simpleString()}, bt {kind.simpleString()}")
 
 
 def weights(rows: DataFrame, least_jaccard: float, alike: Callable[[Column, Column], Column], threshold: float, symmetric: bool = False, least: int = 1) -> DataFrame:
@@ -262,7 +273,8 @@ def weights(rows: DataFrame, least_jaccard: float, alike: Callable[[Column, Colu
     both = candidates(sets, least_jaccard).union(one.select("node", "node", "tokens", "tokens"))
     there, back = (alike(F.col(x), F.col(y)) >= threshold for x, y in (("at", "bt"), ("bt", "at")))
     # not filtered before it is stored: Spark would compare twice
-    links = written(both.select("a", "b", there.alias("there"), *([] if symmetric else [back.alias("back")])), "alike-links")
+    with setting(rows.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(SENT)):
+        links = written(both.select("a", "b", there.alias("there"), *([] if symmetric else [back.alias("back")])), "alike-links")
     forget(stored, again)
     ways = links.where("there").select("a", "b").union(links.where(("there" if symmetric else "back") + " and a <> b").select("b", "a"))
     users = members.groupBy("node", "user_id").agg(F.min("message_id").alias("least"), F.max("message_id").alias("most"))
