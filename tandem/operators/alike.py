@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType
 
+from ..functions.text import jaccard
 from ..sources.shared import forget, setting, trimmed, written
 from .counting import met
 
@@ -191,8 +193,9 @@ def _between(one_n: np.ndarray, two_n: np.ndarray, left: tuple, right: tuple, th
             yield x[may] + s, y[may] + s2
 
 
-def _met(threshold: float, kind: pa.DataType):
-    """The blobs (left, right) of a cell to the pairs (a, b) of sets that may be alike, each once, with their tokens."""
+def _met(threshold: float, kind: pa.DataType | None):
+    """The blobs (left, right) of a cell to the pairs (a, b) of sets that may be alike, each once, with their tokens; without a kind of
+    those, to the pairs that are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
@@ -220,6 +223,12 @@ def _met(threshold: float, kind: pa.DataType):
                 e = min(s + PASSED * PASSED, max(s + 1, int(np.searchsorted(until, before + TOKENS, "right"))))
                 z = [i[order[s:e]] for i in (x, y)]
                 s = e
+                if kind is None:
+                    sets = [{j: frozenset(block.tokens(j)) for j in np.unique(i).tolist()} for block, i in ((one, z[0]), (two, z[1]))]
+                    both = [(sets[0][i], sets[1][j]) for i, j in zip(z[0].tolist(), z[1].tolist())]
+                    alike = np.array([len(i & j) / len(i | j) >= threshold for i, j in both])
+                    yield pa.RecordBatch.from_arrays([pa.array(one.node[z[0][alike]]), pa.array(two.node[z[1][alike]])], names=["a", "b"])
+                    continue
                 tokens = []
                 for block, i in ((one, z[0]), (two, z[1])):
                     sets, at = np.unique(i, return_inverse=True)
@@ -238,9 +247,9 @@ def _cuts(n: np.ndarray, count: np.ndarray, blocks: int) -> np.ndarray:
     return np.unique(n[at] + 1 - (until[at] - aim[: len(at)]) / (each * count)[at])
 
 
-def candidates(sets: DataFrame, threshold: float) -> DataFrame:
+def candidates(sets: DataFrame, threshold: float, compared: bool = False) -> DataFrame:
     """(a, b, at, bt), each two once: all pairs of the stored sets (node, tokens), nodes different, with a Jaccard similarity of at
-    least threshold > 0, and few others, with their tokens."""
+    least threshold > 0, and few others, with their tokens. compared, for tokens that are strings: (a, b) of those pairs and no others."""
     spark = sets.sparkSession
     blocks = max(4, math.ceil(2 * math.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
     hashed = sets.select("node", F.transform(F.array_distinct("tokens"), lambda x: F.xxhash64(x)).alias("hashes"), "tokens")
@@ -252,6 +261,8 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     cuts = _cuts(sizes.column("n").to_numpy(), sizes.column("count").to_numpy(), blocks)
     packed = hashed.mapInArrow(trimmed(_packed(token[by_token], count[by_token], threshold, cuts)), "block int, rows binary")
     kind = sets.schema["tokens"].dataType
+    if compared:
+        return met(packed, blocks).mapInArrow(trimmed(_met(threshold, None)), "a long, b long")
     return met(packed, blocks).mapInArrow(trimmed(_met(threshold, to_arrow_type(kind))), f"a long, b long, at {kind.simpleString()}, bt {kind.simpleString()}")
 
 
@@ -270,11 +281,16 @@ def weights(rows: DataFrame, least_jaccard: float, alike: Callable[[Column, Colu
     sent = lambda x: F.broadcast(x) if few else x.hint("merge")
     sets = large.join(sent(again.select("again")), F.col("row") == F.col("again"), "left_anti").select("node", "tokens")
     one = sets.join(sent(again.select("repeated").distinct()), F.col("node") == F.col("repeated"), "left_semi")
-    both = candidates(sets, least_jaccard).union(one.select("node", "node", "tokens", "tokens"))
-    there, back = (alike(F.col(x), F.col(y)) >= threshold for x, y in (("at", "bt"), ("bt", "at")))
-    # not filtered before it is stored: Spark would compare twice
+    if symmetric and alike is jaccard and sets.schema["tokens"].dataType.elementType == StringType():
+        # Jaccard itself: sets are compared where they lie, and no tokens are passed on
+        both = candidates(sets, threshold, True).union(one.select("node", "node")).select("a", "b", F.lit(threshold <= 1).alias("there"))
+    else:
+        both = candidates(sets, least_jaccard).union(one.select("node", "node", "tokens", "tokens"))
+        there, back = (alike(F.col(x), F.col(y)) >= threshold for x, y in (("at", "bt"), ("bt", "at")))
+        # not filtered before it is stored: Spark would compare twice
+        both = both.select("a", "b", there.alias("there"), *([] if symmetric else [back.alias("back")]))
     with setting(rows.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(SENT)):
-        links = written(both.select("a", "b", there.alias("there"), *([] if symmetric else [back.alias("back")])), "alike-links")
+        links = written(both, "alike-links")
     forget(stored, again)
     ways = links.where("there").select("a", "b").union(links.where(("there" if symmetric else "back") + " and a <> b").select("b", "a"))
     users = members.groupBy("node", "user_id").agg(F.min("message_id").alias("least"), F.max("message_id").alias("most"))

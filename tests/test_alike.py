@@ -87,3 +87,14 @@ def test_blocks_hold_like_shares_of_sets_and_tokens():
         for weight in (np.ones(len(key)), np.repeat(n, count)):
             assert np.bincount(block, weights=weight).max() <= 2.1 / blocks * weight.sum() + weight.max()
     assert len(_cuts(n[:0], count[:0], 4)) == 0
+
+
+def test_compared_in_cells_no_tokens_leave(spark):
+    """For Jaccard itself only the pairs that are alike come back, those just below the threshold not, and without their tokens."""
+    sets = [(i, sorted([*(f"w{x}" for x in range(38 + i % 3)), *(f"x{i}_{x}" for x in range(10))])) for i in range(60)]
+    df = spark.createDataFrame(sets, "node long, tokens array<string>")
+    whole = {i: set(s) for i, s in sets}
+    want = sorted((a, b) for a in whole for b in whole if a < b and len(whole[a] & whole[b]) / len(whole[a] | whole[b]) >= 2 / 3)
+    found = candidates(df, 2 / 3, compared=True)
+    assert found.columns == ["a", "b"] and 0 < len(want) < 60 * 59 // 2
+    assert sorted((min(r), max(r)) for r in found.collect()) == want
